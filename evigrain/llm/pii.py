@@ -165,8 +165,8 @@ def synthetic(n: int = 3000, seed: int = 11) -> list[tuple[str, str, int, int, i
     }
     lead = {"email": ("mail ", "contact: "), "phone": ("call ", "tel. ", "phone: "), "card": ("card ", "visa: "), "ip": ("host ", "ip "), "secret": ('token = "', "api_key=", "secret: ")}
     out = []
-    for i in range(n):
-        kind = KINDS[i % len(KINDS)]
+    for _ in range(n):
+        kind = r.choice(KINDS)
         label = int(r.random() < 0.5)
         span = r.choice((good if label else bad)[kind])()
         hint = r.random() < (0.5 if kind != "secret" else 0.8) if label else r.random() < 0.1

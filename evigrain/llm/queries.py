@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, huffman, langid, packing, pii, tokens
+from . import decontaminate, dedup, fingerprints, huffman, langid, packing, pii, token_counts, tokens
 from .common import crc_mod
 
 
@@ -40,5 +40,13 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_pack, op4_decontaminate, op5_personal_data, op6_token_files, op9_near_duplicates, op10_language)}
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(_table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokens.public_path("byte_bpe_50k.json"), limit=1024)
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_pack, op4_decontaminate, op5_personal_data, op6_token_files, op7_token_counts, op9_near_duplicates, op10_language)}
 ORACLE_SQL: dict[str, str] = {}
