@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, fingerprints, huffman, langid, packing, pii, token_counts, tokens, warc
+from . import decontaminate, dedup, fingerprints, huffman, langid, lm, packing, pii, token_counts, tokens, warc
 from .common import crc_mod
 
 
@@ -44,6 +44,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.report(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokens.public_path("byte_bpe_50k.json"), limit=1024)
 
@@ -52,5 +56,5 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), least=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op3_pack, op4_decontaminate, op5_personal_data, op6_token_files, op7_token_counts, op8_warc, op9_near_duplicates, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_language_model, op3_pack, op4_decontaminate, op5_personal_data, op6_token_files, op7_token_counts, op8_warc, op9_near_duplicates, op10_language)}
 ORACLE_SQL: dict[str, str] = {}
