@@ -1,4 +1,6 @@
 """The registered queries and the SQL each is held against."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import corpus_queries, retrieval_queries
+
+QUERIES = corpus_queries.QUERIES | retrieval_queries.QUERIES
+ORACLE_SQL = corpus_queries.ORACLE_SQL | retrieval_queries.ORACLE_SQL
