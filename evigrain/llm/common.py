@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 U64 = np.uint64
 MULT = U64(0x9E3779B97F4A7C15)
@@ -174,8 +174,14 @@ def released(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows: with long texts, Spark's 10,000 hold tens of MB in each task's Python and JVM."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 def doc_frame(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator needs, under fixed names; whatever else the table has is pruned at the scan."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
