@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, SPACE_WORDS, U64, crc_mod, mix, slices, stored, words
+from .common import MULT, SPACE_WORDS, U64, crc_mod, mix, slices, stored, trim, words
 
 WORD_BYTES = 32 << 20
 FILTER_BYTES = 128 << 20
@@ -40,7 +40,7 @@ ITEM_BITS = 12
 LEVELS = 40
 MU = 4.0
 PART_BYTES = 4 << 20  # text for each part
-FLUSH = 4_000_000  # tokens that a task counts at once
+FLUSH = 1_000_000  # tokens that a task counts at once
 
 START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _PAIR = U64(0xD6E8FEB86659FD93)
@@ -144,6 +144,7 @@ def count(train: DataFrame, bits: int) -> DataFrame:
                     size = 0
         if size:
             yield from flush()
+        trim()
 
     def merge(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind, part = (k.as_py() for k in key)
