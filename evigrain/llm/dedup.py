@@ -9,8 +9,10 @@ A document's set is its distinct word k-gram hashes (64 bits). Steps:
    register of each pass makes a band; 32 bands of four miss a pair at a
    similarity of 0.8 with a probability of about 5e-8.
 2. Sets below ``SMALL`` elements would leave buckets empty; they are indexed by
-   the prefix filter instead (the first n - ceil(t n) + 1 elements in hash order),
-   which misses nothing. Sets that can pair with them are indexed both ways.
+   the prefix filter instead (the first n - ceil(t n) + 1 elements of one order for
+   all), which misses nothing whatever the order is. Rare elements come first, by a
+   table of rough counts of fixed size, so that passages and lines that many
+   documents share make no keys. Sets that can pair with them are indexed both ways.
 3. Equal sets are one class. Within a key only pairs with the key's hub are
    candidates (no all-pairs lists); later rounds take other hubs for keys whose
    members are in several components still, and a last round pairs what is left
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, SPACE_WORDS, U64, cache, doc_frame, grams, mix, slices, stored, words
+from .common import MULT, SPACE_WORDS, U64, cache, doc_frame, grams, mix, slices, stored, trim, words
 from .components import components
 
 PASSES, BUCKETS, MANTISSA = 4, 32, 10
@@ -44,6 +46,8 @@ SMALL = 64
 MARGIN = 0.25  # 7 standard deviations of the estimate over 128 registers
 HUB_ROUNDS = 4
 ID_BYTES = 32 << 20  # candidate ids in one broadcast
+COUNT_BITS = 20  # the table of rough counts has 2**20 numbers, whatever the input
+SHORT_TEXT = 8192  # bytes; longer texts don't count in the table
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
@@ -115,8 +119,41 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
     return np.clip((same - chance) / (1 - chance), 0, 1)
 
 
+def _places(s: np.ndarray) -> np.ndarray:
+    return (s >> U64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def rough_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """How often shingles of short texts fall on each of 2**COUNT_BITS places; only repeats inside a task count.
+
+    It only orders elements, so it may be rough but must be the same for all: it is made once and broadcast (4 MB).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << COUNT_BITS, np.int32)
+        for b in batches:
+            for _, _, data, offs in slices(b.column(0)):
+                sets = shingle_sets(data, offs, k)
+                np.add.at(own, _places(np.concatenate(sets)), 1)
+        at = np.flatnonzero(own > 1)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(own[at].astype(np.int64))], ["place", "n"])
+
+    short = docs.select(F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= SHORT_TEXT)
+    got = short.mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNT_BITS, np.int32)
+    out[got.column("place").to_numpy()] = np.minimum(got.column("n").to_numpy(), (1 << 31) - 1)
+    return out
+
+
+def prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set in the order of (rough count, hash)."""
+    keep = len(s) - (percent * len(s) + 99) // 100 + 1
+    return s[np.lexsort((s, counts[_places(s)]))[:keep]]
+
+
 def _describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, n, set_key (16 bytes, null for an empty set), keys, sig."""
+    counts = docs.sparkSession.sparkContext.broadcast(rough_counts(docs, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,7 +168,7 @@ def _describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 for r, s in enumerate(sets):
                     own = []
                     if len(s) and len(s) * percent < SMALL * 100 + percent:
-                        own.append(mix(s[: len(s) - (percent * len(s) + 99) // 100 + 1] ^ MULT).view(np.int64))
+                        own.append(mix(prefix(s, counts.value, percent) ^ MULT).view(np.int64))
                     if r in row_of:
                         own.append(bands[row_of[r]])
                     keys.append(np.concatenate(own) if own else np.zeros(0, np.int64))
@@ -139,6 +176,7 @@ def _describe(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     names.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(size), pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys))), pa.array(sigs, pa.binary())], ["doc_id", "n", "set_key", "keys", "sig"])
+        trim()
 
     return doc_frame(docs).mapInArrow(run, "doc_id long, n long, set_key binary, keys array<long>, sig binary")
 
