@@ -50,7 +50,8 @@ def _measure(word: str) -> int:
 
 
 def _has_vowel(word: str) -> bool:
-    return not all(_shape(word))
+    """Here any y after the first letter counts as a vowel."""
+    return any(ch in _VOWELS or (ch == "y" and i) for i, ch in enumerate(word))
 
 
 def _ends_cvc(word: str) -> bool:
@@ -58,44 +59,48 @@ def _ends_cvc(word: str) -> bool:
     return len(word) >= 3 and s[-1] and not s[-2] and s[-3] and word[-1] not in "wxy"
 
 
-def _ends_double(word: str) -> bool:
-    return len(word) >= 2 and word[-1] == word[-2] and _shape(word)[-1]
-
-
 #: The suffix lists of Porter's steps 2, 3 and 4.
 _STEP2 = {"ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "logi": "log", "bli": "ble", "alli": "al", "entli": "ent", "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful", "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble"}
 _STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
 _STEP4 = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate", "iti", "ous", "ive", "ize")
 
 
+def _ends(word: str, suffix: str) -> bool:
+    """A suffix must leave something before it."""
+    return len(word) > len(suffix) and word.endswith(suffix)
+
+
 def _replace(word: str, table: dict[str, str]) -> str:
     for suffix in sorted(table, key=len, reverse=True):
-        if word.endswith(suffix):
-            stem = word[: -len(suffix)]
-            return stem + table[suffix] if _measure(stem) > 0 else word
+        if _ends(word, suffix):
+            rest = word[: -len(suffix)]
+            return rest + table[suffix] if _measure(rest) > 0 else word
     return word
 
 
 def stem(word: str) -> str:
-    """Porter's stem; words under three or over 64 bytes stay."""
-    if len(word) < 3 or len(word.encode()) > 64:
-        return word
-    if word.endswith("sses") or word.endswith("ies"):
+    """Porter's stem of a word's UTF-8 bytes, as SQLite has it: bytes beyond ASCII are consonants; under three or over 64 bytes a word stays."""
+    raw = word.encode()
+    return word if not 3 <= len(raw) <= 64 else _stem(raw.decode("latin-1")).encode("latin-1").decode("utf-8", "replace")
+
+
+def _stem(word: str) -> str:
+    if _ends(word, "sses") or _ends(word, "ies"):
         word = word[:-2]
-    elif word.endswith("s") and not word.endswith("ss"):
+    elif word[-1] == "s" and word[-2] != "s":
         word = word[:-1]
     cut = False
-    if word.endswith("eed"):
+    if _ends(word, "eed"):
         if _measure(word[:-3]) > 0:
             word = word[:-1]
-    elif word.endswith("ed") and _has_vowel(word[:-2]):
+    elif _ends(word, "ed") and _has_vowel(word[:-2]):
         word, cut = word[:-2], True
-    elif word.endswith("ing") and _has_vowel(word[:-3]):
+    elif _ends(word, "ing") and _has_vowel(word[:-3]):
         word, cut = word[:-3], True
     if cut:
-        if word.endswith(("at", "bl", "iz")):
+        if _ends(word, "at") or _ends(word, "bl") or _ends(word, "iz"):
             word += "e"
-        elif _ends_double(word) and word[-1] not in "lsz":
+        elif len(word) > 1 and word[-1] == word[-2] and word[-1] not in "aeioulsz":
             word = word[:-1]
         elif _measure(word) == 1 and _ends_cvc(word):
             word += "e"
@@ -103,7 +108,7 @@ def stem(word: str) -> str:
         word = word[:-1] + "i"
     word = _replace(_replace(word, _STEP2), _STEP3)
     for suffix in sorted(_STEP4, key=len, reverse=True):
-        if word.endswith(suffix):
+        if _ends(word, suffix):
             rest = word[: -len(suffix)]
             if _measure(rest) > 1 and (suffix != "ion" or rest.endswith(("s", "t"))):
                 word = rest
@@ -153,7 +158,7 @@ def analyze(c: Column) -> Column:
                 own = [] if t is None else tokens(t)
                 for w in own:
                     if w not in known:
-                        known[w] = stem(w) if w.isascii() else w
+                        known[w] = stem(w)
                 out.append([known[w] for w in own])
             yield pd.Series(out)
 
