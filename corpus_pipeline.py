@@ -8,7 +8,6 @@ documents. All stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from evigrain.llm import decontaminate, dedup, langid, packing, pii
 from evigrain.llm.common import shared_dir
@@ -18,8 +17,7 @@ from evigrain.llm.tokens import public_path
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language (``und``, that is null or letterless texts, go)."""
     langs, model = langid.fit(langid.train_split(docs))
-    marked = langid.predict(docs, langs, model, tuple(docs.columns))
-    return marked.where(F.col("lang_pred") != "und").select(*docs.columns)
+    return langid.recognised(docs, langs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices
+from .common import crc_mod, slices, small_batches
 
 MAX_MODEL_BYTES = 512 << 20
 SIZES = (1, 2, 3, 4)
@@ -114,32 +114,46 @@ def fit(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5, most_do
     return [langs[i] for i in order], model.astype(np.float32)
 
 
-def predict(docs: DataFrame, langs: list[str], model: np.ndarray, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``id_cols`` as they are, lang_pred and score (posterior of the winner; ties go to the first name)."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast((langs, np.ascontiguousarray(model.T)))
-    buckets = model.shape[1]
-    ids = list(id_cols)
+def _judged(col: pa.Array, names: list[str], logp: np.ndarray) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
+    """(first row, end row, languages, scores) for slices of a text column."""
+    for i, j, data, offs in slices(col):
+        x, rows = _features(data, offs, len(logp))
+        n = j - i
+        seen = _lettered(data, offs)
+        if names:
+            total = np.stack([np.bincount(rows, logp[:, k][x], minlength=n) for k in range(len(names))], axis=1)
+            best = total.argmax(axis=1)
+            p = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
+        else:
+            best, p, seen = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
+        yield i, j, [names[k] if s else "und" for k, s in zip(best, seen, strict=True)], np.where(seen, p, 0.0)
+
+
+def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
+    """doc_id, lang_pred and score (posterior of the winner; ties go to the first name)."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(model.T)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, logp = sent.value
         for b in batches:
-            for i, j, data, offs in slices(b.column("text")):
-                x, rows = _features(data, offs, buckets)
-                n = j - i
-                seen = _lettered(data, offs)
-                if names:
-                    total = np.stack([np.bincount(rows, logp[:, k][x], minlength=n) for k in range(len(names))], axis=1)
-                    best = total.argmax(axis=1)
-                    p = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
-                else:
-                    best, p, seen = np.zeros(n, int), np.zeros(n), np.zeros(n, bool)
-                out = [names[k] if s else "und" for k, s in zip(best, seen, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, n) for c in ids), pa.array(out, pa.string()), pa.array(np.where(seen, p, 0.0))], [*ids, "lang_pred", "score"])
-
-    picked = docs.select(*ids, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema if f.name != "text")
-    return picked.mapInArrow(score, f"{schema}, lang_pred string, score double")
+            for i, j, lang, p in _judged(b.column(1), *sent.value):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text has a language."""
+    small_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast((langs, np.ascontiguousarray(model.T)))
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, lang, _ in _judged(b.column(at), *sent.value):
+                yield b.slice(i, j - i).filter(pa.array([x != "und" for x in lang], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def train_split(docs: DataFrame, held_out: int = 2, modulus: int = 4) -> DataFrame:
