@@ -222,7 +222,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, bucket, before (tokens before it in its range), n_tokens, ids_crc32 (of 32-bit ids), read from the files."""
     lengths = np.frombuffer(spark.read.parquet(f"{path}/codebook").first()["lengths"], np.uint8)
     sent = spark.sparkContext.broadcast(table(lengths, codes(lengths)))
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary, bucket int").load(f"{path}/blocks")
+    files = spark.read.format("binaryFile").load(f"{path}/blocks")
+    if "bucket" not in files.columns:  # no document, no folder
+        files = files.withColumn("bucket", F.lit(0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, width = sent.value

@@ -103,3 +103,57 @@ def test_prefixes_meet_whatever_the_order():
         both, every = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         if 100 * both >= 80 * every:
             assert len(np.intersect1d(dedup.prefix(a, counts, 80), dedup.prefix(b, counts, 80)))
+
+
+def test_intersections_and_joining_links():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 62, 60, dtype=np.uint64)
+    sets = [np.unique(np.r_[base[r.random(60) < 0.8], r.integers(0, 1 << 62, 9, dtype=np.uint64)]) for _ in range(90)] + [np.zeros(0, np.uint64)]
+    got = dedup.common(sets)
+    for i in range(len(sets)):
+        for j in range(len(sets)):
+            assert i == j or got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    near = r.random((40, 40)) < 0.03
+    near |= near.T
+    label = np.arange(40) // 2
+    links = dedup.joining(label, near)
+    assert all(near[a, b] for a, b in links)
+
+    def parts(pairs):
+        own = list(range(40))
+        root = lambda x: x if own[x] == x else root(own[x])
+        for a, b in pairs:
+            own[root(a)] = root(b)
+        return [root(i) for i in range(40)]
+
+    same = [(2 * i, 2 * i + 1) for i in range(20)]
+    want, have = parts(same + list(zip(*np.nonzero(near)))), parts(same + links)
+    assert {(want[i] == want[j]) for i in range(40) for j in range(40) if have[i] == have[j]} <= {True}
+    assert {(have[i] == have[j]) for i in range(40) for j in range(40) if want[i] == want[j]} <= {True}
+
+
+def test_groups_larger_than_a_block(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(70)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(3):
+            t[r.randrange(70)] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    sets = {d: shingles(t, 4) for d, t in rows}
+    import struct
+
+    codes = {}
+    packed = [(d, b"".join(struct.pack("<Q", v) for v in sorted(codes.setdefault(x, len(codes)) for x in s))) for d, s in sets.items()]
+    full = spark.createDataFrame(packed, "id long, full binary")
+    members = spark.createDataFrame([(1, d, d) for d, _ in rows], "key long, id long, label long")
+    links = {tuple(sorted((x.a, x.b))) for x in dedup._linked_in_groups(members, full, 80, block_rows=7).collect()}
+    own = {d: d for d, _ in rows}
+    root = lambda x: x if own[x] == x else root(own[x])
+    for a, b in links:
+        assert 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        p, q = sorted((root(a), root(b)))
+        own[q] = p
+    want = brute(rows, 4, 80)
+    assert {d: root(d) for d, _ in rows} == {d: v[1] for d, v in want.items()}
