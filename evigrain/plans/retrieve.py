@@ -62,8 +62,8 @@ def screened(queries: DataFrame, nfkc: bool = True) -> DataFrame:
 
 
 def _terms(c: Column) -> Column:
-    """Query words through the index's analyser."""
-    return F.flatten(F.transform(lexical.query_terms(c), lambda t: F.array(t)))
+    """Query words, cut like the index's terms."""
+    return lexical.plain_terms(F.array_join(lexical.query_terms(c), " "))
 
 
 def search(index: Index, queries: DataFrame, config: Retrieval, vectors: DataFrame | None, hypothetical: DataFrame | None, sources: tuple[str, ...] | None) -> DataFrame:
