@@ -173,7 +173,7 @@ def _masks(x: np.ndarray) -> np.ndarray:
 
 def _places(key: np.ndarray, lv: int, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     """(word of 64 bits, bits in it) of the item (key, level) in a part's filter of ``size`` words."""
-    x = mix(key + U64(lv) * MULT)
+    x = mix(key + U64(lv * int(MULT) & 0xFFFFFFFFFFFFFFFF))
     return ((x >> U64(32)) * np.asarray(size, U64)) >> U64(32), _masks(x)
 
 
