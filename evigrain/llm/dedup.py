@@ -14,11 +14,15 @@ A document's set is its distinct word k-gram hashes (64 bits). Steps:
    table of rough counts of fixed size, so that passages and lines that many
    documents share make no keys. Sets that can pair with them are indexed both ways.
 3. Equal sets are one class. Within a key only pairs with the key's hub are
-   candidates (no all-pairs lists); later rounds take other hubs for keys whose
-   members are in several components still, and a last round pairs what is left
-   across components. A pair whose members are connected already can't change the
-   result.
-4. Candidates pass the collision-corrected Jaccard estimate (a wide margin below
+   candidates (no all-pairs lists); a later round takes another hub for keys whose
+   members are in several components still. A pair whose members are connected
+   already can't change the result.
+4. What is left are groups with members near the threshold, where no hub can tell.
+   Such a key's full sets meet in one task as long as they fit a block, else in one
+   task for each pair of its blocks. There, columns of a member-by-element matrix give
+   all intersections at once, and only links that join components come out: rows grow
+   with the members, not with their pairs.
+5. Hub candidates pass the collision-corrected Jaccard estimate (a wide margin below
    the threshold), then are confirmed on the full sets, which are made again from
    the texts of candidate documents only.
 
@@ -44,7 +48,9 @@ from .components import components
 PASSES, BUCKETS, MANTISSA = 4, 32, 10
 SMALL = 64
 MARGIN = 0.25  # 7 standard deviations of the estimate over 128 registers
-HUB_ROUNDS = 4
+HUB_ROUNDS = 2
+BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20  # members and bytes of full sets in one block of a key
+DENSE = 32  # an element that more members have is a column of the matrix product
 ID_BYTES = 32 << 20  # candidate ids in one broadcast
 COUNT_BITS = 20  # the table of rough counts has 2**20 numbers, whatever the input
 SHORT_TEXT = 8192  # bytes; longer texts don't count in the table
@@ -271,10 +277,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
                 split = stored(split.select("key", "lo", "hub.*").toDF("key", "lo", "hub", "hub_label"))
                 if split.isEmpty():
                     break
-                if step < HUB_ROUNDS:
-                    now = labelled.join(split, "key").where("label <> hub_label").select(F.col("id").alias("a"), F.col("hub").alias("b"))
-                else:
-                    now = _across(labelled.join(split.select("key"), "key"))
+                if step == HUB_ROUNDS:
+                    more = stored(_linked_in_groups(labelled.join(split.select("key"), "key"), sets, percent))
+                    if not more.isEmpty():
+                        edges = more if edges is None else edges.union(more)
+                        labels = stored(ids.join(components(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label")))
+                    break
+                now = labelled.join(split, "key").where("label <> hub_label").select(F.col("id").alias("a"), F.col("hub").alias("b"))
             now = now.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             now = stored(now.join(tried, ["a", "b"], "left_anti") if tried is not None else now)
             tried = now if tried is None else tried.union(now)
@@ -290,12 +299,68 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """Pairs of one key's members in different components, the larger component on one side only."""
-    size = rows.groupBy("key", "label").agg(F.count("*").alias("c"))
-    most = stored(size.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("most")))
-    few = rows.join(most, "key").where("label <> most").select("key", F.col("id").alias("a"), F.col("label").alias("la"))
-    return few.join(rows, "key").where("la <> label").select("a", F.col("id").alias("b"))
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections: rare elements by their few pairs, frequent ones by a product of 0/1 columns."""
+    g = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(g), [len(s) for s in sets])
+    order = np.argsort(flat, kind="stable")
+    owner, first = owner[order], np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0])) if len(flat) else np.zeros(0, np.int64)
+    many = np.diff(np.append(first, len(flat)))
+    out = np.zeros((g, g), np.float32)
+    wide = np.flatnonzero(many > DENSE)
+    for k in range(0, len(wide), 1024):
+        part = wide[k : k + 1024]
+        x = np.zeros((g, len(part)), np.float32)
+        x[owner[np.repeat(first[part] - np.concatenate([[0], np.cumsum(many[part])[:-1]]), many[part]) + np.arange(many[part].sum())], np.repeat(np.arange(len(part)), many[part])] = 1
+        out += x @ x.T
+    for c in range(2, DENSE + 1):
+        at = first[many == c]
+        for k in range(0, len(at), 65536 // c):
+            own = owner[at[k : k + 65536 // c, None] + np.arange(c)]
+            code = (own[:, :, None] * g + own[:, None, :]).ravel()
+            where, n = np.unique(code, return_counts=True)
+            out.reshape(-1)[where] += n
+    return out
+
+
+def joining(label: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of ``near`` members that connect different labels, at most one a member and round."""
+    label, out = np.unique(label, return_inverse=True)[1].astype(np.int64), []
+    g = len(label)
+    while True:
+        to = np.where(near & (label[:, None] > label[None, :]), label[None, :], g).argmin(axis=1)
+        rows = np.flatnonzero(near[np.arange(g), to] & (label > label[to]))
+        if not len(rows):
+            return out
+        # One link for each label that has a smaller neighbour; the label then takes the neighbour's.
+        _, pick = np.unique(label[rows], return_index=True)
+        jump = np.arange(g)
+        for i in rows[pick].tolist():
+            out.append((i, int(to[i])))
+            jump[label[i]] = label[to[i]]
+        while (jump[jump] != jump).any():
+            jump = jump[jump]
+        label = jump[label]
+
+
+def _linked_in_groups(rows: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``rows`` (key, id, label): links (a, b) between members of one key with different labels, enough to join all that are near."""
+    full = rows.join(sets.withColumnsRenamed({"id": "_id"}), F.col("id") == F.col("_id")).select("key", "id", "label", "full")
+    size = full.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("full")) / block_bytes)).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = full.join(size, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "id", "label", "full")
+
+    def link(group: pa.Table) -> pa.Table:
+        made = [np.frombuffer(x.as_buffer(), U64) for x in group.column("full")]
+        n = np.array([len(x) for x in made])
+        both = common(made)
+        near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+        ids = group.column("id").to_numpy()
+        found = joining(group.column("label").to_numpy(), near)
+        return pa.table({"a": pa.array([int(ids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(ids[j]) for _, j in found], pa.int64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def first_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
