@@ -49,7 +49,7 @@ PASSES, BUCKETS, MANTISSA = 4, 32, 10
 SMALL = 64
 MARGIN = 0.25  # 7 standard deviations of the estimate over 128 registers
 HUB_ROUNDS = 2
-BLOCK_ROWS, BLOCK_BYTES = 1024, 4 << 20  # members and bytes of full sets in one block of a key
+BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20  # members and bytes of full sets in one block of a key
 DENSE = 32  # an element that more members have is a column of the matrix product
 ID_BYTES = 32 << 20  # candidate ids in one broadcast
 COUNT_BITS = 20  # the table of rough counts has 2**20 numbers, whatever the input
@@ -315,8 +315,8 @@ def common(sets: list[np.ndarray]) -> np.ndarray:
         out += x @ x.T
     for c in range(2, DENSE + 1):
         at = first[many == c]
-        for k in range(0, len(at), 65536 // c):
-            own = owner[at[k : k + 65536 // c, None] + np.arange(c)]
+        for k in range(0, len(at), 16384 // c):
+            own = owner[at[k : k + 16384 // c, None] + np.arange(c)]
             code = (own[:, :, None] * g + own[:, None, :]).ravel()
             where, n = np.unique(code, return_counts=True)
             out.reshape(-1)[where] += n
@@ -358,6 +358,8 @@ def _linked_in_groups(rows: DataFrame, sets: DataFrame, percent: int, block_rows
         near = 100 * both >= percent * (n[:, None] + n[None, :] - both)
         ids = group.column("id").to_numpy()
         found = joining(group.column("label").to_numpy(), near)
+        del both, near
+        trim()
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(ids[j]) for _, j in found], pa.int64())})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(link, "a long, b long")
