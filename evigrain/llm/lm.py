@@ -13,9 +13,10 @@ prior: (c12 + mu * p(w2)) / (c1 + mu), with add-one word probabilities p.
 Bounds. The word table (exact counts) and the filter are broadcast; each has a byte
 bound. What doesn't fit, always the rarest words or bigrams by level, isn't given
 up: documents send what they didn't find there to a join with the rest of the
-counts, and add what comes back. Frequent keys, which could be hot, are all in the
-broadcast part. Only the model's word probabilities treat words outside the table
-as one class with their mean count; the base score uses exact counts throughout.
+counts. Words come first: a bigram with a word outside the table stays open until
+the word's exact count is back, so a score doesn't depend on the table's size. Then
+come the bigrams that the filter lacks. Frequent keys, which could be hot, are all
+in the broadcast part.
 
 Odd cases: null and empty texts are the end token alone; repeated rows count and
 are scored each; without training rows every count is 0 and N is 0; other columns
@@ -25,7 +26,7 @@ are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,8 @@ FLUSH = 1_000_000  # tokens that a task counts at once
 
 START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _PAIR = U64(0xD6E8FEB86659FD93)
-_KINDS = ("word", "pair")
+#: What a row keeps for the joins: words and bigrams not found, and bigrams with a word outside the table (its number among the row's words, from 1, else 0, and the counts known).
+_LISTS = {"words": "long", "word_n": "int", "pairs": "long", "pair_n": "int", "pair_v": "float", "pair_c": "float", "open": "long", "open_n": "int", "open_lv": "int", "open_word": "int", "open_before": "int", "open_c": "long", "open_context": "long"}
 _COUNTED = "kind int, part int, keys binary, counts binary"
 
 
@@ -196,7 +198,6 @@ class Model:
         self.filter, self.first = np.zeros(1, U64), np.zeros(1, np.int64)
         self.size = np.ones(1, np.int64)
         self.word_level = self.pair_level = 1
-        self.rare = 0.0
 
     def word_counts(self, u: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -257,8 +258,6 @@ def fit(train: DataFrame, word_bytes: int = WORD_BYTES, filter_bytes: int = FILT
     if at:
         model.words = np.concatenate([np.frombuffer(got.column("a")[i].as_buffer(), U64) for i in at])
         model.counts = np.concatenate([np.frombuffer(got.column("c")[i].as_buffer(), np.int64) for i in at])
-    rare = model.v - len(model.words)
-    model.rare = (model.n - int(model.counts.sum())) / rare if rare else 0.0
     model.first, model.size = np.zeros(1 << bits, np.int64), np.ones(1 << bits, np.int64)
     blocks = [np.zeros(1, U64)]  # one empty word stands for parts without bigrams
     end = 1
@@ -285,47 +284,107 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, held_out: Column, m
                 own, before, row = tokens(h, per)
                 n = j - i
                 u, at = np.unique(own, return_inverse=True)
-                c = m.word_counts(u)
-                likely = np.where(c > 0, c, m.rare)
-                prior = mu * (likely + 1) / (m.n + m.v + 1)
-                context = np.empty(len(own))
-                context[1:] = likely[at][:-1]
+                found = m.word_counts(u)
+                c = found[at]
+                context = np.empty(len(own), np.int64)
+                context[1:] = c[:-1]
                 context[before == START] = m.docs
+                away = (c == 0) if not whole_words else np.zeros(len(own), bool)
+                open_ = away.copy()
+                open_[1:] |= away[:-1] & (before[1:] != START)
                 h2 = pairs(before, own)
                 u2, at2 = np.unique(h2, return_inverse=True)
                 lv = m.pair_levels(u2)[at2]
-                c12 = np.minimum(level_count(lv), context)
-                p = prior[at]
-                known = np.bincount(row, (c > 0)[at], n)
-                base = np.bincount(row, np.log10(c + 1.0)[at], n) - (per + 1) * norm
-                full = np.bincount(row, np.log10(c12 + p) - np.log10(context + mu), n)
-                cols = [b.column("doc_id").slice(i, n), b.column("row").slice(i, n), b.column("held_out").slice(i, n), pa.array((per + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(full)]
-                for miss, key, value in ((None if whole_words else (c == 0)[at], own, None), (None if whole_pairs else (lv == 0) & (context > 0), h2, p)):
-                    cols += _missing(miss, key, row, value, context, n)
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", "words", "word_n", "word_v", "word_c", "pairs", "pair_n", "pair_v", "pair_c"])
-
-    lists = ", ".join(f"{k}s array<long>, {k}_n array<long>, {k}_v array<float>, {k}_c array<float>" for k in _KINDS)
+                p, full = _term(m.n + m.v + 1, c, context, lv, mu)
+                known = np.bincount(row, c > 0, n)
+                base = np.bincount(row, np.log10(found + 1.0)[at], n) - (per + 1) * norm
+                cols = [b.column("doc_id").slice(i, n), b.column("row").slice(i, n), b.column("held_out").slice(i, n), pa.array((per + 1).astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(np.bincount(row, np.where(open_, 0.0, full), n))]
+                one, many, ends, number = _distinct(away, own, row, n)
+                cols += _listed(ends, own[one].view(np.int64), many)
+                one, many, ends, _ = _distinct(~open_ & (lv == 0) & (context > 0) if not whole_pairs else np.zeros(len(own), bool), h2, row, n)
+                cols += _listed(ends, h2[one].view(np.int64), many, p[one].astype(np.float32), context[one].astype(np.float32))
+                number_before = np.zeros_like(number)
+                number_before[1:] = np.where(before[1:] != START, number[:-1], 0)
+                one, many, ends, _ = _distinct(open_, h2, row, n)
+                keys = h2[one].view(np.int64) * (0 if whole_pairs else 1)
+                cols += _listed(ends, keys, many, lv[one].astype(np.int32), number[one], number_before[one], c[one], context[one])
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", *_LISTS])
+
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    out = picked.mapInArrow(run, f"doc_id long, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, {lists}")
+    out = picked.mapInArrow(run, f"doc_id long, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, {_fields(_LISTS)}")
     if not (whole_words and whole_pairs):
         out = _with_rest(stored(out), model, counted, mu)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _missing(miss: np.ndarray | None, key: np.ndarray, row: np.ndarray, value: np.ndarray | None, context: np.ndarray, n: int) -> list[pa.Array]:
-    """Per row the distinct keys that weren't found, how often each stands there, and what the score needs to take one in later."""
-    if miss is None:
-        empty = np.zeros(n + 1, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(empty), pa.array([], t)) for t in (pa.int64(), pa.int64(), pa.float32(), pa.float32())]
-    at = np.flatnonzero(miss)
+def _fields(names: Iterable[str]) -> str:
+    return ", ".join(f"{k} array<{_LISTS[k]}>" for k in names)
+
+
+def _term(total: int, c: np.ndarray, context: np.ndarray, lv: np.ndarray, mu: float) -> tuple[np.ndarray, np.ndarray]:
+    """(prior mass, log10 of the smoothed probability) of words of count ``c`` behind words of count ``context``, by their bigrams' levels."""
+    p = mu * (c + 1) / total
+    return p, np.log10(np.minimum(level_count(lv), context) + p) - np.log10(context + mu)
+
+
+def _distinct(where: np.ndarray, key: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row's distinct keys at the places of ``where``: (a place, how often it stands there, ends of the rows, every place's number among its row's keys from 1, or 0)."""
+    at = np.flatnonzero(where)
     order = at[np.lexsort((key[at], row[at]))]
     k, r = key[order], row[order]
-    first = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])) if len(k) else np.zeros(0, np.int64)
-    many = np.diff(np.append(first, len(k)))
-    offs = pa.array(np.searchsorted(r[first], np.arange(n + 1)).astype(np.int32))
-    v = (value[order[first]] if value is not None else np.zeros(len(first))).astype(np.float32)
-    made = (pa.array(k[first].view(np.int64)), pa.array(many.astype(np.int64)), pa.array(v), pa.array(context[order[first]].astype(np.float32)))
-    return [pa.ListArray.from_arrays(offs, x) for x in made]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
+    first = np.flatnonzero(new)
+    ends = np.searchsorted(r[first], np.arange(n + 1))
+    number = np.zeros(len(key), np.int32)
+    number[order] = np.cumsum(new) - ends[r]
+    return order[first], np.diff(np.append(first, len(k))).astype(np.int32), ends, number
+
+
+def _listed(ends: np.ndarray, *values: np.ndarray) -> list[pa.Array]:
+    return [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x)) for x in values]
+
+
+def _flat(col: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, their rows) of a list column."""
+    per = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return col.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(col)), per)
+
+
+def _closed(out: DataFrame, model: Model, there: DataFrame, mu: float) -> DataFrame:
+    """row, what exact counts of the words outside the table add to its n_known (k), base_score (b) and score (s), and its bigrams that are still to be joined."""
+    total, whole_pairs = model.n + model.v + 1, model.pair_level == 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            many, word_row = _flat(b.column("word_n"))
+            begin = np.searchsorted(word_row, np.arange(n))
+            word_c = np.zeros(len(many), np.int64)
+            got, got_row = _flat(b.column("pos"))
+            word_c[begin[got_row] + got] = _flat(b.column("c"))[0]
+            k = np.bincount(word_row, many * (word_c > 0), n)
+            base = np.bincount(word_row, many * np.log10(word_c + 1.0), n)
+
+            def counts(number: np.ndarray, rows: np.ndarray, begin: np.ndarray = begin, word_c: np.ndarray = word_c) -> np.ndarray:
+                """What the join gave a row for its word of that number; 0 if nothing."""
+                return word_c[np.where(number > 0, begin[rows] + number - 1, 0)]
+
+            h2, row = _flat(b.column("open"))
+            many, lv, own, before, c, context = (_flat(b.column(f"open_{x}"))[0] for x in ("n", "lv", "word", "before", "c", "context"))
+            c = np.where(own != 0, counts(own, row), c)
+            context = np.where(before != 0, counts(before, row), context)
+            p, full = _term(total, c, context, lv, mu)
+            left = np.flatnonzero((lv == 0) & (context > 0)) if not whole_pairs else np.zeros(0, np.int64)
+            lists = _listed(np.searchsorted(row[left], np.arange(n + 1)), h2[left], many[left], p[left].astype(np.float32), context[left].astype(np.float32))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(k.astype(np.int64)), pa.array(base), pa.array(np.bincount(row, many * full, n)), *lists], ["row", "k", "b", "s", "pairs", "pair_n", "pair_v", "pair_c"])
+
+    # The joins carry a word's number in its row, not the word.
+    asked = out.where(F.size("words") > 0).select("row", F.posexplode("words").alias("pos", "key"))
+    got = asked.join(there.select("key", "c"), "key").groupBy("row").agg(F.collect_list(F.struct("pos", "c")).alias("got"))
+    rows = out.where(F.size("open") > 0).select("row", "word_n", *(k for k in _LISTS if k.startswith("open"))).join(got, "row", "left")
+    rows = rows.withColumns({x: F.coalesce(F.col(f"got.{x}"), F.array().cast(f"array<{kind}>")) for x, kind in (("pos", "int"), ("c", "long"))}).drop("got")
+    return rows.mapInArrow(run, f"row long, k long, b double, s double, {_fields(('pairs', 'pair_n', 'pair_v', 'pair_c'))}")
 
 
 def _with_rest(out: DataFrame, model: Model, counted: DataFrame, mu: float) -> DataFrame:
@@ -342,26 +401,28 @@ def _with_rest(out: DataFrame, model: Model, counted: DataFrame, mu: float) -> D
                     keys = keys | (U64(r["part"]) << U64(40))
                 yield pa.RecordBatch.from_arrays([pa.array([r["kind"]] * len(keys), pa.int32()), pa.array(keys.view(np.int64)), pa.array(counts[few])], ["kind", "key", "c"])
 
-    # Parts number below 2**23, so a bigram's part and 40 bits fit a long.
-    folded = F.shiftrightunsigned(F.col("k.pairs"), 64 - bits) * F.lit(1 << 40) + F.shiftrightunsigned(F.shiftleft(F.col("k.pairs"), bits), 24)
-    asked = []
-    for kind, name in enumerate(_KINDS):
-        if least[kind] > 1:
-            k = out.select("row", F.explode(F.arrays_zip(f"{name}s", f"{name}_n", f"{name}_v", f"{name}_c")).alias("k"))
-            asked.append(k.select("row", F.lit(kind).alias("kind"), (folded if kind else F.col("k.words")).alias("key"), F.col(f"k.{name}_n").alias("n"), F.col(f"k.{name}_v").cast("double").alias("v"), F.col(f"k.{name}_c").cast("double").alias("context")))
-    probes = asked[0] if len(asked) == 1 else asked[0].unionByName(asked[1])
-    there = counted.select("kind", "part", "keys", "counts").mapInArrow(rest, "kind int, key long, c long")
-    lv = F.floor(F.log2("c")) + 1
-    likely = F.least(F.when(lv <= 1, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), lv - 1) * 1.2), F.col("context"))
-    pair = F.col("kind") == 1
-    more = probes.join(there, ["kind", "key"]).groupBy("row").agg(
-        F.sum(F.when(~pair, F.col("n")).otherwise(0)).alias("k"),
-        F.sum(F.when(~pair, F.col("n") * F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("b"),
-        F.sum(F.when(pair, F.col("n") * F.log10(1 + likely / F.col("v"))).otherwise(0.0)).alias("s"),
-    )
-    done = out.select("doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score").join(more, "row", "left")
+    done = out.select("doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score")
     add = lambda c, x: (F.col(c) + F.coalesce(F.col(x), F.lit(0))).alias(c)
-    return done.select("doc_id", "held_out", "n_tokens", add("n_known", "k"), add("base_score", "b"), add("score", "s"))
+    kept = ("doc_id", "row", "held_out", "n_tokens")
+    missing = [out]
+
+    def rest_of(kind: int) -> DataFrame:
+        return counted.where(F.col("kind") == kind).select("kind", "part", "keys", "counts").mapInArrow(rest, "kind int, key long, c long")
+
+    if least[0] > 1:
+        closed = stored(_closed(out, model, rest_of(0), mu))
+        missing.append(closed)
+        done = done.join(closed.select("row", "k", "b", "s"), "row", "left").select(*kept, add("n_known", "k"), add("base_score", "b"), add("score", "s"))
+    if least[1] > 1:
+        # Parts number below 2**23, so a bigram's part and 40 bits fit a long.
+        folded = F.shiftrightunsigned(F.col("k.pairs"), 64 - bits) * F.lit(1 << 40) + F.shiftrightunsigned(F.shiftleft(F.col("k.pairs"), bits), 24)
+        probes = [x.select("row", F.explode(F.arrays_zip("pairs", "pair_n", "pair_v", "pair_c")).alias("k")).select("row", folded.alias("key"), F.col("k.pair_n").alias("n"), F.col("k.pair_v").cast("double").alias("v"), F.col("k.pair_c").cast("double").alias("context")) for x in missing]
+        lv = F.floor(F.log2("c")) + 1
+        likely = F.least(F.when(lv <= 1, F.lit(1.0)).otherwise(F.pow(F.lit(2.0), lv - 1) * 1.2), F.col("context"))
+        asked = probes[0] if len(probes) == 1 else probes[0].unionByName(probes[1])
+        more = asked.join(rest_of(1).select("key", "c"), "key").groupBy("row").agg(F.sum(F.col("n") * F.log10(1 + likely / F.col("v"))).alias("s"))
+        done = done.join(more, "row", "left").select(*kept, "n_known", "base_score", add("score", "s"))
+    return done
 
 
 def report(docs: DataFrame, modulus: int = 7, held: int = 2, word_bytes: int = WORD_BYTES, filter_bytes: int = FILTER_BYTES) -> DataFrame:

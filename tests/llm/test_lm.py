@@ -88,6 +88,17 @@ def test_counts_beyond_the_bounds_come_by_join(spark):
     compared(spark, rows, 0.0, word_bytes=0, filter_bytes=0)
 
 
+def test_scores_do_not_depend_on_the_word_table(spark):
+    """Words outside the table, trained or not, count as in the whole model, also as contexts."""
+    rows = texts() + [(i, f"beta unseen{i} gamma once{i} once{i} Alpha") for i in range(300, 340)]
+    key = lambda r: (str(r.doc_id), r.n_tokens)
+    whole = sorted(lm.report(frame(spark, rows)).collect(), key=key)
+    for word_bytes in (0, 200):
+        for a, b in zip(sorted(lm.report(frame(spark, rows), word_bytes=word_bytes).collect(), key=key), whole, strict=True):
+            assert a[:5] == b[:5] and a.score == pytest.approx(b.score, rel=1e-9)
+    compared(spark, rows, 1.0, word_bytes=0, filter_bytes=0)
+
+
 def test_table_and_filter_stay_within_their_bounds(spark):
     model, _ = lm.fit(frame(spark, texts()), word_bytes=400, filter_bytes=300)
     assert model.words.nbytes + model.counts.nbytes <= 400
