@@ -9,7 +9,8 @@ emits a candidate (offset, successor); payloads may hold the magic too. Offsets
 become absolute with the sizes of the splits before. Inside a split a candidate's
 chain is followed to where it leaves the split; over splits the chain from offset 0
 follows by pointer jumping (doubling) on those exits. Only candidates on the chain
-from the file's start are records.
+from the file's start are records; a chain that doesn't end at the file's size is an
+error. Headers may have any length.
 
 Odd cases: null html is the empty payload and still a record; a null url has no
 target header; null page ids are written as ``null`` and read back so; pages with
@@ -80,7 +81,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
 
 def parse(raw: bytes) -> tuple[int, dict] | None:
     """(bytes of the whole record, headers) of what stands behind a magic, or None."""
-    end = raw.find(b"\r\n\r\n", 0, 1 << 16)
+    end = raw.find(b"\r\n\r\n")
     if end < 0:
         return None
     fields = {}
@@ -119,22 +120,22 @@ _CANDIDATE = "file string, block long, at long, size long, leaves long, page_id
 
 
 def _candidates(spark: SparkSession, path: str) -> DataFrame:
-    """Candidates by split, at offsets from the split's first byte; ``leaves`` is where its chain passes the split's end (or stops, null). A row with a null ``at`` gives the split's size in ``size``."""
+    """Candidates by split, at offsets from the split's first byte; ``leaves`` is where its chain passes the split's end (or stops, null). A row with a null ``at`` gives the split's size in ``size``, the file's in ``leaves``."""
     parts = spark.read.option("lineSep", MAGIC.decode()).text(path)
-    parts = parts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    parts = parts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("whole"), F.col("value").cast("binary").alias("value"))
     names = [f.split()[0] for f in _CANDIDATE.split(", ")]
 
-    def finish(file: str, block: int, found: dict[int, list], span: int) -> pa.RecordBatch:
+    def finish(file: str, block: int, found: dict[int, list], span: int, whole: int) -> pa.RecordBatch:
         leaves: dict[int, int | None] = {}
         for at in sorted(found, reverse=True):
             to = at + found[at][0]
             leaves[at] = to if to >= span else leaves.get(to)
-        rows = [(file, block, at, x[0], leaves[at], *x[1]) for at, x in found.items()] + [(file, block, None, span, *[None] * 7)]
+        rows = [(file, block, at, x[0], leaves[at], *x[1]) for at, x in found.items()] + [(file, block, None, span, whole, *[None] * 6)]
         types = [pa.string(), *[pa.int64()] * 6, pa.string(), pa.string(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, span, begun = None, 0, False
+        now, span, begun, whole = None, 0, False, 0
         found: dict[int, list] = {}
         open_: list[list] = []  # [at, size, headers, header bytes, parts so far, their length]
 
@@ -143,15 +144,15 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
             found[x[0]] = [x[1], _fields(x[2], raw[x[3] : x[1] - 4], x[1] - 4 - x[3])]
 
         for b in batches:
-            files, blocks = b.column("file").to_pylist(), b.column("block").to_pylist()
-            for file, block, value in zip(files, blocks, b.column("value"), strict=True):
+            files, blocks, wholes = (b.column(c).to_pylist() for c in ("file", "block", "whole"))
+            for file, block, size_, value in zip(files, blocks, wholes, b.column("value"), strict=True):
                 raw = value.as_py()
                 if (file, block) != now:
                     if now is not None:
                         for x in open_:
                             close(x)
-                        yield finish(*now, found, span)
-                    now, span, begun, found, open_ = (file, block), 0, block > 0, {}, []
+                        yield finish(*now, found, span, whole)
+                    now, span, begun, whole, found, open_ = (file, block), 0, block > 0, size_, {}, []
                 # Behind a file's first bytes every piece follows a magic; a file's very first piece does not.
                 piece = MAGIC + raw if begun else raw
                 for x in open_:
@@ -168,7 +169,7 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
         if now is not None:
             for x in open_:
                 close(x)
-            yield finish(*now, found, span)
+            yield finish(*now, found, span, whole)
 
     return parts.mapInArrow(run, _CANDIDATE)
 
@@ -176,13 +177,13 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records on each file's chain: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     every = stored(_candidates(spark, path))
-    spans = every.where("at IS NULL").select("file", "block", F.col("size").alias("span"))
-    spans = stored(spans.select("file", "block", "span", (F.sum("span").over(Window.partitionBy("file").orderBy("block")) - F.col("span")).alias("base")))
+    spans = every.where("at IS NULL").select("file", "block", F.col("size").alias("span"), F.col("leaves").alias("whole"))
+    spans = stored(spans.select("file", "block", "span", "whole", (F.sum("span").over(Window.partitionBy("file").orderBy("block")) - F.col("span")).alias("base")))
     found = every.where("at IS NOT NULL").join(spans, ["file", "block"])
     # Entries: where a file begins, and where another split's chain may go on.
     jumps = found.select("file", (F.col("base") + F.col("at")).alias("here"), (F.col("base") + F.col("leaves")).alias("there"))
     landings = jumps.where("there IS NOT NULL").select("file", F.col("there").alias("here")).union(spans.select("file", F.lit(0).cast("long").alias("here"))).distinct()
-    hop = stored(jumps.join(landings, ["file", "here"]).select("file", "here", "there"))
+    hop = first = stored(jumps.join(landings, ["file", "here"]).select("file", "here", "there"))
     reach = stored(hop.where("here = 0").select("file", "here"))
     while True:
         step = reach.join(hop, ["file", "here"]).where("there IS NOT NULL").select("file", F.col("there").alias("here"))
@@ -194,6 +195,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         hop2 = hop.join(nxt, ["file", "there"], "left").select("file", "here", F.coalesce("beyond", F.lit(None).cast("long")).alias("there"))
         # A doubled pointer skips every second entry, so both halves of the doubling are kept: reach already holds the skipped ones.
         hop = stored(hop2)
+    ends = reach.join(first, ["file", "here"]).select("file", F.col("there").alias("whole"))
+    broken = spans.select("file", "whole").distinct().join(ends, ["file", "whole"], "left_anti").first()
+    if broken:
+        raise ValueError(f"{broken.file}: its records don't end at the file's size of {broken.whole} bytes")
     marked = found.join(reach.withColumn("entry", F.lit(True)), (found.file == reach.file) & (found.base + found["at"] == reach.here), "left").select(found.file, "block", "at", "size", "span", "entry", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "sound")
     out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 

@@ -287,6 +287,26 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(df.where("false")).collect() == []
 
 
+def test_warc_headers_of_any_length(spark, tmp_path):
+    rows = [(i, "http://x/" + " é"[i % 2] * (70_000 if i in (3, 4) else 5), f"<p>{i}</p>") for i in range(8)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(1)
+    assert {r.page_id for r in warc.round_trip(df).collect()} == set(range(8))
+
+
+@pytest.mark.parametrize("tail", [b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 50\r\n\r\nx\r\n\r\n", b"WARC/1.1\r\nno header\r\n\r\n", b"x"])
+def test_warc_chain_that_stops(spark, tmp_path, tail):
+    """A file with bytes that no record covers is an error, not a shorter table."""
+    whole = b"".join(warc.record(i, "u", b"<p>", warc.digest(b"<p>"), None, False) + b"\r\n\r\n" for i in range(3))
+    (tmp_path / "sound").write_bytes(whole)
+    assert warc.read(spark, str(tmp_path)).count() == 3
+    (tmp_path / "broken").write_bytes(whole + tail)
+    with pytest.raises(ValueError, match="file's size"):
+        warc.read(spark, str(tmp_path))
+    (tmp_path / "broken").write_bytes(tail + whole)
+    with pytest.raises(ValueError, match="file's size"):
+        warc.read(spark, str(tmp_path))
+
+
 # --- 10 language --------------------------------------------------------------------------------------
 
 
