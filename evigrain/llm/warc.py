@@ -59,10 +59,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
 def write(pages: DataFrame, path: str, least: int = 0) -> None:
     """One record a page. Of equal payloads of at least ``least`` bytes the largest page_id is the response; smaller payloads always are."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    names = stored(rows.select("page_id", F.unhex(F.sha1(F.col("html").cast("binary"))).alias("sha"), F.octet_length("html").alias("n")))
+    rows = rows.withColumn("sha", F.unhex(F.sha1(F.col("html").cast("binary"))))
+    names = stored(rows.select("page_id", "sha", F.octet_length("html").alias("n")))
     # Only payloads that occur again travel; most pages join an empty row of this table.
     again = stored(names.where(F.col("n") >= least).groupBy("sha").agg(F.max("page_id").alias("winner"), F.count("*").alias("c")).where("c > 1").select("sha", "winner"))
-    repeats = stored(names.select("page_id", "sha").join(again, "sha").where("page_id <> winner").select("page_id", "winner").distinct())
+    repeats = stored(names.select("page_id", "sha").join(again, "sha").where("page_id <> winner").select("page_id", "sha", "winner").distinct())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,7 +75,7 @@ def write(pages: DataFrame, path: str, least: int = 0) -> None:
                     out.append(record(page_id, url, payload, digest(payload), winner, winner is not None))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    marked = rows.join(repeats, "page_id", "left").select("page_id", "url", "html", "winner")
+    marked = rows.join(repeats, ["page_id", "sha"], "left").select("page_id", "url", "html", "winner")
     built = marked.mapInArrow(build, "value binary").select(F.col("value").cast("string"))
     built.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 

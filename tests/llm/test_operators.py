@@ -293,6 +293,15 @@ def test_warc_headers_of_any_length(spark, tmp_path):
     assert {r.page_id for r in warc.round_trip(df).collect()} == set(range(8))
 
 
+def test_warc_pages_of_one_id(spark):
+    """A page is a revisit for its own payload, not for that of another page with its id."""
+    rows = [(5, "u", "A"), (5, "u", "B"), (7, "u", "A"), (6, "u", "C"), (6, "u", "D"), (8, "u", "C"), (9, "u", "D")]
+    out = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()
+    sha = {h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for h in "ABCD"}
+    want = [(5, "A", 7), (5, "B", None), (7, "A", None), (6, "C", 8), (6, "D", 9), (8, "C", None), (9, "D", None)]
+    assert Counter((r.page_id, r.payload_digest, r.refers_to) for r in out) == Counter((p, sha[h], w) for p, h, w in want)
+
+
 @pytest.mark.parametrize("tail", [b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 50\r\n\r\nx\r\n\r\n", b"WARC/1.1\r\nno header\r\n\r\n", b"x"])
 def test_warc_chain_that_stops(spark, tmp_path, tail):
     """A file with bytes that no record covers is an error, not a shorter table."""
