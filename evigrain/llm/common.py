@@ -110,6 +110,17 @@ SPACE_WORDS[0] = 255
 ALNUM_WORDS = table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))
 
 
+def names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit names of the byte strings data[starts:ends]; equal strings have equal names."""
+    up, down = _powers(len(data) + 1)
+    c = np.empty(len(data) + 1, U64)
+    c[0] = 0
+    np.cumsum(_byte_values()[data] * up[: len(data)], out=c[1:])
+    h = (c[ends] - c[starts]) * down[starts]
+    h += (ends - starts).astype(U64) * MULT
+    return mix(h)
+
+
 def words(data: np.ndarray, offs: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes, per document number of words) of the lower-cased words of a slice."""
     n = len(offs) - 1
@@ -127,14 +138,8 @@ def words(data: np.ndarray, offs: np.ndarray, classes: np.ndarray) -> tuple[np.n
     tails = offs[1:][offs[1:] > 0] - 1
     last[tails] = inside[tails]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _powers(len(data) + 1)
-    c = np.empty(len(data) + 1, U64)
-    c[0] = 0
-    np.cumsum(_byte_values()[low] * up[: len(data)], out=c[1:])
-    h = (c[ends] - c[starts]) * down[starts]
-    h += (ends - starts).astype(U64) * MULT
     per = np.diff(np.searchsorted(starts, offs))
-    return starts, ends, mix(h), per
+    return starts, ends, names(low, starts, ends), per
 
 
 def grams(h: np.ndarray, per: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +174,41 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/evigrain-{uuid.uuid4().hex}"
 
 
+def range_bounds(rows: DataFrame, key: str, size: Column, total: int, per_range: int) -> np.ndarray:
+    """Sorted upper bounds that cut ``rows`` by the long ``key`` into ranges of about ``per_range`` of ``size`` (``total`` in all); a key that fills several ranges stands there as often.
+
+    Rows turn into points in proportion to their size, 20 a range. Up to 1000 ranges come from one summary of
+    bounded accuracy; more come in two levels, each group of ranges summarised in a task of its own.
+    """
+    n = -(-total // per_range)
+    if n <= 1:
+        return np.zeros(0, np.int64)
+    spark = rows.sparkSession
+    c = F.floor(size * F.lit(20.0 / per_range) + F.rand(7)).cast("int")
+    points = rows.select(F.explode(F.array_repeat(F.col(key), c)).alias("key"))
+    cuts = lambda k: F.percentile_approx("key", [i / k for i in range(1, k)], 100 * k)
+    if n <= 1000:
+        return np.array(sorted(points.agg(cuts(n).alias("b")).first()["b"] or []), np.int64)
+    outer = int(np.ceil(np.sqrt(n)))
+    points = stored(points)
+    coarse = np.array(sorted(points.agg(cuts(outer).alias("b")).first()["b"] or []), np.int64)
+    sent = spark.sparkContext.broadcast(coarse)
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(dealt(sent.value, keys, mix(np.arange(len(keys), dtype=U64))).astype(np.int32))], ["key", "part"])
+
+    inner = points.mapInArrow(group, "key long, part int").groupBy("part").agg(cuts(outer).alias("b")).toArrow()
+    return np.sort(np.concatenate([coarse, *(np.array(x, np.int64) for x in inner["b"].to_pylist())]))
+
+
+def dealt(bounds: np.ndarray, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """Range of each key; a key that fills several ranges is dealt to them in the order of ``tie`` (uint64)."""
+    low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+    return low + ((tie >> U64(32)) * np.maximum(high - low, 1).astype(U64) >> U64(32)).astype(np.int64)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Written as Parquet in the shared folder and read back: lineage ends here and nothing upstream runs twice."""
     spark = df.sparkSession

@@ -6,13 +6,15 @@ a header, the bit offset of every ``STEP``-th token as a difference, and the bit
 Decoding looks 16 bits up in a table; all checkpoints of many blocks advance
 together, one token a step, so the table look-ups are vectorised.
 
-Files are ranges of doc_id: folder ``bucket=<n>`` holds the n-th range, its blocks
-in ascending order, written by Spark's own writer (any file system Spark knows).
-A document's start is the sum of the ranges before it and of the blocks before it.
+Files are ranges of doc_id of about equal bytes: folder ``bucket=<n>`` holds the n-th
+range, its blocks in ascending order, written by Spark's own writer (any file system
+Spark knows). An id (or null) with the rows of many files is dealt to as many. A
+document's start is the sum of the ranges before it and of the blocks before it.
 
 Odd cases: null and empty texts hold the end id alone; null ids come first; rows
-with one doc_id are written each; an empty table writes no block; other columns
-are ignored.
+with one doc_id are written each, in any order among themselves; a very long text
+is one block, so its file may be longer than the others; an empty table writes no
+block; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_frame, released, shared_dir
-from .tokens import lexicon
+from .common import U64, dealt, doc_frame, mix, range_bounds, released, shared_dir, slices, trim
+from .tokens import SLICE, encoder
 
 LIMIT = 16
 STEP = 128
 HEAD = "<4sBqQIQ"  # magic, has an id, doc_id, tokens, checkpoints, bytes of bits
 MAGIC = b"HFB1"
+MOST_FILES = 1_000_000
+NO_ID = -(1 << 63)
+
+_IDS = "doc_id long, row long, n long, ids binary, counts binary"
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -142,63 +148,68 @@ def decode(blocks: list[tuple[int, bytes, bytes]], symbol: np.ndarray, width: np
 
 
 def id_rows(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, ids (16 bits each) with the end id."""
+    """doc_id, row, n, ids (16 bits each) with the end id; each task's last row has the counts of its ids and no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, end = lexicon(tokenizer), end_id.to_bytes(2, "little")
+        encode, total = encoder(tokenizer), np.zeros(1 << 16, np.int64)
+        names = ["doc_id", "row", "n", "ids", "counts"]
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                ids = [x + end for x in lex(part.column(1).cast(pa.binary()).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            for i, j, data, offs in slices(b.column("text"), SLICE):
+                ids, at = encode(data, offs, end_id)
+                total += np.bincount(ids, minlength=1 << 16)
+                ids = ids.astype("<u2", copy=False)
+                cells = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(2 * at), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), b.column("row").slice(i, j - i), pa.array(np.diff(at)), cells, pa.nulls(j - i, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names)
+        trim()
 
-    return doc_frame(docs).mapInArrow(run, "doc_id long, ids binary")
+    return doc_frame(docs).withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, _IDS)
 
 
 def id_counts(rows: DataFrame) -> np.ndarray:
-    """Uses of each of the 65,536 ids; tasks sum their own first."""
+    """Uses of each of the 65,536 ids, from what the tasks counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for b in batches:
             for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16) if len(x.as_buffer()) > 1 << 16 else 0
-            small = b"".join(x for x in b.column(0).to_pylist() if len(x) <= 1 << 16)
-            total += np.bincount(np.frombuffer(small, "<u2"), minlength=1 << 16)
+                total += np.frombuffer(zlib.decompress(x.as_buffer()), "<i8")
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["id", "n"])
 
-    got = rows.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.where(F.col("counts").isNotNull()).select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << 16, np.int64)
     counts[got.column("id").to_numpy()] = got.column("n").to_numpy()
     return counts
 
 
-def write(rows: DataFrame, path: str) -> np.ndarray:
-    """Write ``rows`` (doc_id, ids) as files under ``path``; returns the codebook (bits of each id), also kept beside them."""
+def write(rows: DataFrame, path: str, least: int = 4 << 20) -> np.ndarray:
+    """Write ``rows`` (as ``id_rows`` makes them, stored) as files under ``path``; returns the codebook (bits of each id), also kept beside them. ``least``: bytes of a file in a small table."""
     spark = rows.sparkSession
     counts = id_counts(rows)
+    rows = rows.where(F.col("n").isNotNull())
     lengths = code_lengths(counts)
     book = codes(lengths)
+    total = int(counts.sum())
     size = int((counts * lengths.astype(np.int64)).sum()) // 8
-    files = max(1, -(-size // max(4 << 20, min(64 << 20, size // 1000))))
-    bounds = rows.select(F.percentile_approx("doc_id", [i / files for i in range(1, files)], 10 * files).alias("b")).first()["b"] if files > 1 else []
-    bounds = sorted({b for b in bounds or []})
-    sent = spark.sparkContext.broadcast((lengths, book, np.array(bounds, np.int64)))
+    file = max(least, min(64 << 20, size // 1000), size // MOST_FILES)
+    bounds = range_bounds(rows.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), "n"), "key", F.col("n"), total, -(-total * file // max(size, 1)) or 1)
+    sent = spark.sparkContext.broadcast((lengths, book, bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths, book, bounds = sent.value
         for b in batches:
-            for i, j in _runs(b.column(1), 1 << 20):
-                ids = b.column(0).slice(i, j - i)
-                docs = [np.frombuffer(x, "<u2") for x in b.column(1).slice(i, j - i).to_pylist()]
+            for i, j in _runs(b.column("ids"), 1 << 20):
+                part = b.slice(i, j - i)
+                docs = [np.frombuffer(x, "<u2") for x in part.column("ids").to_pylist()]
                 made = []
-                for doc_id, d, (marks, bits) in zip(ids.to_pylist(), docs, encode(docs, lengths, book), strict=True):
+                for doc_id, d, (marks, bits) in zip(part.column("doc_id").to_pylist(), docs, encode(docs, lengths, book), strict=True):
                     made.append(struct.pack(HEAD, MAGIC, doc_id is not None, doc_id or 0, len(d), len(marks) // 2, len(bits)) + marks + bits)
-                bucket = np.searchsorted(bounds, ids.fill_null(-1 << 63).to_numpy(), "left")
-                yield pa.RecordBatch.from_arrays([ids, pa.array(bucket.astype(np.int32)), pa.array(made, pa.binary())], ["doc_id", "bucket", "block"])
+                bucket = dealt(bounds, part.column("doc_id").fill_null(NO_ID).to_numpy(), mix(part.column("row").to_numpy().astype(U64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(bucket.astype(np.int32)), pa.array(made, pa.binary())], ["doc_id", "bucket", "block"])
+        trim()
 
-    blocks = rows.mapInArrow(run, "doc_id long, bucket int, block binary").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "doc_id")
+    blocks = rows.select("doc_id", "row", "ids").mapInArrow(run, "doc_id long, bucket int, block binary").repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "doc_id")
     blocks.select(F.col("block").cast("string").alias("value"), "bucket").write.partitionBy("bucket").option("lineSep", "\n").text(f"{path}/blocks")
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     return lengths
@@ -251,17 +262,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content", "bucket").mapInArrow(run, "doc_id long, bucket int, before long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, least: int = 4 << 20) -> DataFrame:
     """Write the files, read them back: doc_id, start, n_tokens, ids_crc32. The files stay under ``path``."""
     spark = docs.sparkSession
     path = path or shared_dir(spark)
     ids = f"{path}/ids"
     id_rows(docs, tokenizer, end_id).write.option("compression", "zstd").parquet(ids)
-    write(spark.read.schema("doc_id long, ids binary").parquet(ids), path)
+    write(spark.read.schema(_IDS).parquet(ids), path, least)
     released(spark, ids)
     got = read(spark, path)
     got.write.parquet(f"{path}/read_back")
     got = spark.read.schema(got.schema).parquet(f"{path}/read_back")
-    per = got.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))
-    per = per.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("above"))
+    # Sums of the files before a file, in two steps, so that no task sums over more than about a thousand groups or files.
+    per = got.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).withColumn("shelf", F.floor(F.col("bucket") / 1024))
+    shelves = per.groupBy("shelf").agg(F.sum("n").alias("n")).select("shelf", (F.sum("n").over(Window.orderBy("shelf")) - F.col("n")).alias("below"))
+    inside = F.sum("n").over(Window.partitionBy("shelf").orderBy("bucket")) - F.col("n")
+    per = per.withColumn("inside", inside).join(F.broadcast(shelves), "shelf").select("bucket", (F.col("below") + F.col("inside")).alias("above"))
     return got.join(F.broadcast(per), "bucket").select("doc_id", (F.col("above") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -9,8 +9,8 @@ their length from counts by (length, salt) and a row number inside each salted
 group, so that no length, however common, is ranked by one task.
 
 Odd cases: null and empty texts have the end id alone (one piece of length 1);
-repeated rows are packed each; an empty table gives an empty result; other
-columns are ignored.
+repeated rows are packed each; a very long text is a slice of its
+own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import doc_frame, stored
-from .tokens import lexicon, public_path
+from .common import doc_frame, slices, stored, trim
+from .tokens import SLICE, encoder, public_path
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -75,18 +75,20 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
     """doc_id, piece, start, length, ids_crc32 of every piece of every document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex, end = lexicon(tokenizer), end_id.to_bytes(2, "little")
+        encode = encoder(tokenizer)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                cols: list[list] = [[], [], [], [], []]
-                for doc_id, ids in zip(part.column(0).to_pylist(), lex(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
-                    ids = np.frombuffer(ids + end, "<u2").astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start : start + capacity]
-                        for c, v in zip(cols, (doc_id, k, start, len(own), zlib.crc32(own.tobytes())), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for i, j, data, offs in slices(b.column(1), SLICE):
+                ids, at = encode(data, offs, end_id)
+                n = np.diff(at)
+                per = -(-n // capacity)
+                row = np.repeat(np.arange(j - i), per)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(per) - per, per)
+                start = piece * capacity
+                length = np.minimum(capacity, n[row] - start)
+                first, raw = at[row] + start, memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return doc_frame(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -125,4 +127,5 @@ def placed(rows: DataFrame, capacity: int = 2048) -> DataFrame:
 
 def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return placed(stored(pieces(docs, tokenizer or public_path("word_bpe_49k.json"), end_id, capacity)), capacity)
+    rows = pieces(docs, tokenizer or public_path("word_bpe_49k.json"), end_id, capacity).withColumn("_row", F.monotonically_increasing_id())
+    return placed(stored(rows), capacity).drop("_row")

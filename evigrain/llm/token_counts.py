@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import MULT, U64, _byte_values, _powers, cache, doc_frame, mix, slices
-from .tokens import byte_letters, library
+from .bpe import byte_letters
+from .tokens import library
 
 CHUNK = 64
 FULL = 1_000_000

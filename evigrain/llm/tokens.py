@@ -1,29 +1,30 @@
-"""Token ids of whole texts by a cached word lexicon over a public tokenizer.
+"""Token ids of whole texts by vectorised byte-pair encoding over a public tokenizer.
 
 ``word_bpe_49k`` normalises character by character (NFC, white space, lower
 case) and its pre-tokenizer never joins anything across white space, nor do its
 special strings hold any. So the ids of a text are the ids of its runs between
-ASCII white space, one after the other. Each worker keeps a dictionary from such
-a run to its packed ids (16 bits each, as the vocabulary has under 65,536 ids).
-
-An unseen run of printable Latin-1 characters needs no normaliser but lower case;
-it is cut by the tokenizer's own pattern and each piece goes to the library's BPE
-model. Any other run (other scripts, controls, special strings) goes through the
-whole library. Dictionaries keep two generations and drop the older one when full,
-so memory is bounded; a run longer than ``LONG`` bytes is never kept.
+ASCII white space, one after the other. A slice's distinct runs (64-bit names,
+confirmed on their bytes) are encoded once and their ids dealt to all places.
+
+A run of printable Latin-1 characters needs no normaliser but lower case; the
+tokenizer's own pattern is a few comparisons of character classes there, and
+``bpe.Merges`` encodes all its pieces together. Any other run (other scripts,
+controls, special strings) goes through the whole library. Memory is bounded by a
+slice, or by one longer text, and by the pieces that ``bpe.Kept`` remembers.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
 
 import numpy as np
 
-from .common import cache
+from .bpe import Merges, distinct, ragged
+from .common import SPACE_WORDS, U64, cache, mix, words
 
-FULL = 400_000
-LONG = 64
+SLICE = 1 << 20  # bytes of text that are encoded at once
+
+LETTER, NUMBER, OTHER = 1, 2, 3
 
 
 def public_path(name: str) -> str:
@@ -45,82 +46,132 @@ def library(path: str):
     return c["library", path]
 
 
-def byte_letters() -> list[str]:
-    """The printable character that byte-level BPE writes for each byte."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
-class TwoGenerations(dict):
-    """A bounded dictionary that makes missing values; entries unused for a whole generation go."""
-
-    def __init__(self, make, full: int):
-        super().__init__()
-        self.make, self.full, self.old, self.long = make, full, {}, []
-
-    def __missing__(self, key):
-        v = self.old.get(key)
-        if v is None:
-            v = self.make(key)
-        self[key] = v
-        if len(key) > LONG:
-            self.long.append(key)
-        return v
-
-    def tidy(self) -> None:
-        for k in self.long:
-            self.pop(k, None)
-        self.long.clear()
-        if len(self) > self.full:
-            self.old = dict(self)
-            self.clear()
-
-
-class WordLexicon:
-    """bytes of a text -> its ids as little-endian uint16 bytes."""
+def _ascii() -> tuple[np.ndarray, np.ndarray]:
+    """(lower case, class) of each byte."""
+    low = np.arange(256, dtype=np.uint8)
+    low[65:91] += 32
+    kind = np.full(256, OTHER, np.uint8)
+    kind[97:123], kind[48:58] = LETTER, NUMBER
+    return low, kind
+
+
+def _second(lead: int) -> np.ndarray:
+    """Class of a two-byte character behind the lead byte C2 or C3."""
+    kind = np.full(256, LETTER if lead == 0xC3 else OTHER, np.uint8)
+    if lead == 0xC3:
+        kind[[0x97, 0xB7]] = OTHER
+    else:
+        kind[[0xAA, 0xB5, 0xBA]] = LETTER
+        kind[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = NUMBER
+    return kind
+
+
+LOWER, KIND = _ascii()
+KIND_C2, KIND_C3 = _second(0xC2), _second(0xC3)
+
+
+def pieces(data: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Starts of the pieces that the pattern ``'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+`` cuts lower-case printable Latin-1 runs into; ``heads``: where runs start."""
+    n = len(data)
+    kind = KIND[data]
+    tail = (data & 0xC0) == 0x80
+    at = np.flatnonzero(tail)
+    kind[at] = kind[at - 1] = np.where(data[at - 1] == 0xC3, KIND_C3[data[at]], KIND_C2[data[at]])
+    head = np.zeros(n + 1, bool)
+    head[heads] = head[n] = True
+    begin = head[:n].copy()
+    begin[1:] |= (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+    begin[at] = False
+    quote = np.flatnonzero(data == 39)
+    if len(quote):
+        quote = quote[head[quote] | (kind[quote - 1] != OTHER)]
+        text = np.concatenate([data, np.zeros(3, np.uint8)])
+        inside = lambda k: ~head[np.minimum(quote + k, n)]
+        a, b = text[quote + 1], text[quote + 2]
+        one = inside(1) & np.isin(a, np.frombuffer(b"stmd", np.uint8))
+        two = inside(1) & inside(2) & (((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108)))
+        for found, size in ((quote[one], 2), (quote[two], 3)):
+            for k in range(1, size):
+                begin[found + k] = False
+            after = found + size
+            begin[after[after < n]] = True
+    return np.flatnonzero(begin)
+
+
+class Encoder:
+    """Ids of the texts of a slice."""
 
     def __init__(self, path: str):
-        import regex
-
         self.tok = library(path)
         if self.tok.get_vocab_size(with_added_tokens=True) > 65536:
             raise ValueError("the vocabulary needs more than 16 bits an id")
-        self.runs, self.pieces = TwoGenerations(self.learn, FULL), TwoGenerations(self.piece, FULL)
-        self.model = self.tok.model
-        self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.simple = regex.compile(r"[\x21-\x7E\xA1-\xFF]+")
-        self.pair = [i.to_bytes(2, "little") for i in range(65536)]
-        self.letters = dict(enumerate(byte_letters()))
-
-    def piece(self, p: str) -> bytes:
-        own = p if p.isascii() else p.encode().decode("latin-1").translate(self.letters)
-        return b"".join([self.pair[t.id] for t in self.model.tokenize(own)])
-
-    def learn(self, run: bytes) -> bytes:
-        word = run.rstrip(b"!,.:;?")
-        if word.isalpha() and len(word) < LONG:  # bytes: ASCII letters only
-            tail = run[len(word) :]
-            v = self.pieces[word.lower().decode()]
-            return v + self.pieces[tail.decode()] if tail else v
-        s = run.decode("utf-8")
-        if "<|" in s or len(s) > LONG or not self.simple.fullmatch(s):
-            return np.array(self.tok.encode(s, add_special_tokens=False).ids, "<u2").tobytes()
-        return b"".join([self.pieces[p] for p in self.pattern.findall(s.lower())])
-
-    def __call__(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        get = self.runs.__getitem__
-        out = []
-        for t in texts:
-            out.append(b"".join(map(get, t.split())) if t else b"")
-            if len(self.runs.long) > 1000 or len(self.runs) > self.runs.full:
-                self.runs.tidy()
-                self.pieces.tidy()
-        return out
-
-
-def lexicon(path: str) -> WordLexicon:
+        self.merges = Merges(self.tok)
+
+    def __call__(self, data: np.ndarray, offs: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, offsets of the rows in it); ``end`` is put behind each row."""
+        starts, ends, h, per = words(data, offs, SPACE_WORDS)
+        lengths = ends - starts
+        low = LOWER[data]
+        special = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # "<|" may begin a special string, which is told apart by case
+        if len(special):
+            at = np.unique(np.searchsorted(starts, special, "right") - 1)
+            h[at] = mix(at.astype(U64))
+        code, first = distinct(low, starts, lengths, h)
+        ids, n = self._encoded(data, low, starts[first], lengths[first])
+        where = np.cumsum(n) - n
+        many = n[code]
+        own = ids[ragged(where[code], many)]
+        sums = np.concatenate([[0], np.cumsum(many)])
+        rows = sums[np.concatenate([[0], np.cumsum(per)])]
+        if end is None:
+            return own, rows
+        out = np.empty(len(own) + len(per), np.uint16)
+        rows += np.arange(len(rows))
+        closing = rows[1:] - 1
+        out[closing] = end
+        inner = np.ones(len(out), bool)
+        inner[closing] = False
+        out[inner] = own
+        return out, rows
+
+    def _encoded(self, data: np.ndarray, low: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the runs one after the other, number of ids of each)."""
+        flat = low[ragged(starts, lengths)]
+        heads = np.cumsum(lengths) - lengths
+        before = np.zeros_like(flat)
+        before[1:] = flat[:-1]
+        bad = (flat < 0x21) | (flat == 0x7F) | (flat >= 0xC4) | ((before == 0xC2) & (flat < 0xA1)) | ((before == 60) & (flat == 124))
+        bad[heads[(flat[heads] >= 0x21) & (flat[heads] < 0x7F)]] = False
+        odd = np.zeros(len(starts), bool)
+        odd[np.searchsorted(heads, np.flatnonzero(bad), "right") - 1] = True
+        odd_at = np.flatnonzero(odd)
+        if len(odd_at):
+            flat = flat[np.repeat(~odd, lengths)]
+            heads = np.cumsum(lengths[~odd]) - lengths[~odd]
+        flat = flat.copy()
+        upper = np.flatnonzero((flat[1:] >= 0x80) & (flat[1:] <= 0x9E) & (flat[1:] != 0x97) & (flat[:-1] == 0xC3)) + 1
+        flat[upper] += 32
+        n = np.zeros(len(starts), np.int64)
+        ids = np.zeros(0, np.uint16)
+        if len(flat):
+            cut = pieces(flat, heads)
+            ids, per = self.merges(flat, cut, np.diff(np.append(cut, len(flat))))
+            sums = np.concatenate([[0], np.cumsum(per)])
+            n[~odd] = np.diff(sums[np.append(np.searchsorted(cut, heads), len(cut))])
+        if not len(odd_at):
+            return ids, n
+        texts = [bytes(data[starts[i] : starts[i] + lengths[i]]).decode("utf-8") for i in odd_at.tolist()]
+        whole = [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint16) for t in texts]
+        n[odd_at] = [len(x) for x in whole]
+        out = np.empty(int(n.sum()), np.uint16)
+        where = np.cumsum(n) - n
+        out[ragged(where[~odd], n[~odd])] = ids
+        out[ragged(where[odd_at], n[odd_at])] = np.concatenate(whole)
+        return out, n
+
+
+def encoder(path: str) -> Encoder:
     c = cache()
-    if ("lexicon", path) not in c:
-        c["lexicon", path] = WordLexicon(path)
-    return c["lexicon", path]
+    if ("encoder", path) not in c:
+        c["encoder", path] = Encoder(path)
+    return c["encoder", path]
