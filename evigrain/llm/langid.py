@@ -2,15 +2,19 @@
 
 Letters are lower-cased ASCII bytes and all bytes >= 0x80; every other byte is a
 space. Byte 1- to 4-grams are hashed to ``buckets`` columns. Training counts the
-buckets for each language over all labelled training rows: tasks sum their own
-counts first, so the shuffle carries at most languages x buckets rows a task.
-The log-probability matrix (languages x buckets float32: ``MAX_MODEL_BYTES``
-checks the bound) is broadcast; scoring adds rows of it with numpy. The number of
-languages is what the labels hold, a few hundred at most.
+buckets for each language over labelled training rows (all of them up to about
+``most_docs`` a language, else a hashed sample of about that many): tasks sum their
+own counts first, so the shuffle carries at most languages x buckets rows a task.
+A language's prior is its share of all labelled training rows. The log-probability
+matrix, its last column the prior (languages x (buckets + 1) float32:
+``MAX_MODEL_BYTES`` is checked before anything is collected), is broadcast; scoring
+adds rows of it with numpy.
 
 Results in odd cases: null text or text without a letter -> ``und`` and score 0;
 null ``lang`` rows don't train; no training rows at all -> every text is ``und``
-with score 0; extra columns are ignored; repeated rows are scored each.
+with score 0; extra columns are ignored; repeated rows are scored each; equal
+posteriors go to the first language by name; a very long text is scored whole, in a
+slice of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, slices, small_batches
+from .common import crc_mod, slices, small_batches, trim
 
 MAX_MODEL_BYTES = 512 << 20
 SIZES = (1, 2, 3, 4)
@@ -91,37 +95,41 @@ def fit(docs: DataFrame, buckets: int = 1 << 15, smoothing: float = 0.5, most_do
         for name, own in sums.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(own[at].astype(np.int64))], ["lang", "bucket", "n"])
+        trim()
 
     rows = docs.where(F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    there = rows.groupBy("lang").count().toArrow().to_pylist()
-    share = F.lit(0.0)
-    for x in there:
-        share = F.when(F.col("lang") == x["lang"], F.lit(min(1.0, most_docs / x["count"]))).otherwise(share)
+    per_lang = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    several = per_lang.count()
+    if several * (buckets + 1) * 4 > MAX_MODEL_BYTES:
+        raise ValueError(f"{several} languages x {buckets} buckets pass the broadcast bound")
+    there = {r["lang"]: r["n"] for r in per_lang.toArrow().to_pylist()}
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, most_docs / n)) for k, n in there.items()], "lang string, share double")
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 20)) / F.lit(1 << 20)
-    rows = rows.where(draw < share).where(F.col("text").isNotNull()).select("text", "lang")
+    rows = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).where(F.col("text").isNotNull()).select("text", "lang")
     got = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     # One packed row a language: at most languages x buckets numbers reach the driver.
     per = got.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n")).toArrow()
-    langs = per.column("lang").to_pylist()
-    if len(langs) * buckets * 4 > MAX_MODEL_BYTES:
-        raise ValueError(f"{len(langs)} languages x {buckets} buckets pass the broadcast bound")
-    order = sorted(range(len(langs)), key=lambda i: langs[i])
-    model = np.zeros((len(langs), buckets), np.float64)
-    for k, i in enumerate(order):
-        model[k, per.column("b")[i].values.to_numpy()] = per.column("n")[i].values.to_numpy()
-    model += smoothing
-    model = np.log(model / model.sum(axis=1, keepdims=True)) if len(langs) else model
-    return [langs[i] for i in order], model.astype(np.float32)
+    at = {k: i for i, k in enumerate(per.column("lang").to_pylist())}
+    langs = sorted(there)
+    model = np.zeros((len(langs), buckets + 1), np.float64)
+    for k, lang in enumerate(langs):
+        if lang in at:
+            model[k, per.column("b")[at[lang]].values.to_numpy()] = per.column("n")[at[lang]].values.to_numpy()
+    if langs:
+        grams = model[:, :buckets] + smoothing
+        model[:, :buckets] = np.log(grams / grams.sum(axis=1, keepdims=True))
+        model[:, buckets] = np.log(np.array([there[k] for k in langs]) / sum(there.values()))
+    return langs, model.astype(np.float32)
 
 
 def _judged(col: pa.Array, names: list[str], logp: np.ndarray) -> Iterator[tuple[int, int, list[str], np.ndarray]]:
     """(first row, end row, languages, scores) for slices of a text column."""
     for i, j, data, offs in slices(col):
-        x, rows = _features(data, offs, len(logp))
+        x, rows = _features(data, offs, len(logp) - 1)
         n = j - i
         seen = _lettered(data, offs)
         if names:
-            total = np.stack([np.bincount(rows, logp[:, k][x], minlength=n) for k in range(len(names))], axis=1)
+            total = np.stack([np.bincount(rows, logp[:, k][x], minlength=n) for k in range(len(names))], axis=1) + logp[-1]
             best = total.argmax(axis=1)
             p = 1 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
         else:
@@ -138,6 +146,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFrame:
         for b in batches:
             for i, j, lang, p in _judged(b.column(1), *sent.value):
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(lang, pa.string()), pa.array(p)], ["doc_id", "lang_pred", "score"])
+        trim()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
@@ -152,6 +161,7 @@ def recognised(docs: DataFrame, langs: list[str], model: np.ndarray) -> DataFram
         for b in batches:
             for i, j, lang, _ in _judged(b.column(at), *sent.value):
                 yield b.slice(i, j - i).filter(pa.array([x != "und" for x in lang], pa.bool_()))
+        trim()
 
     return docs.mapInArrow(keep, docs.schema)
 

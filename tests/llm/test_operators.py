@@ -1,6 +1,7 @@
 """The other operators against brute force, libraries and round trips, with awkward rows in every table."""
 
 import hashlib
+import math
 import re
 import string
 import zlib
@@ -328,6 +329,46 @@ def test_language_on_held_out_documents(spark):
     assert r.right > 0.9 and 0 <= r.lo <= r.hi <= 1
 
 
+def bayes(train, texts, buckets=1 << 15, smoothing=0.5):
+    """(language, posterior) of each text by plain counting."""
+
+    def grams(text):
+        low = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+        for k in (1, 2, 3, 4):
+            for i in range(len(low) - k + 1):
+                own, h = low[i : i + k], 0
+                if all(b == 32 for b in own) or k > 1 and own[0] == own[1] == 32:
+                    continue
+                for b in own:
+                    h = (h * 0x9E3779B1 + b + 1) & 0xFFFFFFFF
+                h = ((h ^ h >> 15) * 0x85EBCA77) & 0xFFFFFFFF
+                yield (h ^ h >> 13) % buckets
+
+    counts, docs = defaultdict(Counter), Counter()
+    for text, lang in train:
+        docs[lang] += 1
+        counts[lang].update(grams(text))
+    names, out = sorted(docs), []
+    for t in texts:
+        own = Counter(grams(t))
+        logs = [math.log(docs[k] / sum(docs.values())) + sum(n * math.log((counts[k][g] + smoothing) / (sum(counts[k].values()) + smoothing * buckets)) for g, n in own.items()) for k in names]
+        best = logs.index(max(logs))
+        letters = any(c.isalpha() for c in t or "")
+        out.append((names[best] if letters else "und", 1 / sum(math.exp(x - logs[best]) for x in logs) if letters else 0.0))
+    return out
+
+
+def test_language_is_naive_bayes(spark):
+    train = [("the cat and the dog", "en"), ("a house of wood", "en"), ("der Hund und die Katze", "de"), ("el perro y el gato", "es"), ("la niña come", "es"), ("and so on", "en"), (None, "en")]
+    texts = ["the dog", "die Hand", "la", "x", "  zz  the", "ñ", "É", None, "12", "wood und gato", "the " * 3000]
+    df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(train)], "doc_id long, text string, lang string")
+    out = langid.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *langid.fit(df)).collect()
+    for r, (lang, p) in zip(sorted(out, key=lambda r: r.doc_id), bayes(train, texts), strict=True):
+        assert r.lang_pred == lang and abs(r.score - p) < 1e-3, (texts[r.doc_id], r, p)
+    nothing = langid.predict(df.where("false"), *langid.fit(df))
+    assert nothing.collect() == [] and nothing.columns == ["doc_id", "lang_pred", "score"]
+
+
 def test_language_of_awkward_rows(spark):
     df = frame(spark, [*AWKWARD, "the cat and the dog went to the house", "12 34 !?"])
     langs, model = langid.fit(df)
