@@ -1,4 +1,4 @@
-"""Gradient-boosted trees for the logistic loss, with calibrated probabilities, in numpy."""
+"""Gradient-boosted trees for the logistic loss, and Platt scaling, in numpy."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ def _value(tree: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _raw(model: dict, x: np.ndarray) -> np.ndarray:
+def raw(model: dict, x: np.ndarray) -> np.ndarray:
     out = np.full(len(x), model["bias"])
     for t in model["trees"]:
         out += model["rate"] * _value(t, x)
@@ -51,19 +51,21 @@ def _raw(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, least: int = 8) -> dict:
-    """Every fifth row calibrates (Platt scaling of the raw score), the others train."""
-    held = np.arange(len(y)) % 5 == 4
-    tx, ty = x[~held], y[~held].astype(float)
-    bias = float(np.log((ty.mean() + 1e-6) / (1 - ty.mean() + 1e-6)))
-    raw, grown = np.full(len(ty), bias), []
+    y = y.astype(float)
+    bias = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
+    now, grown = np.full(len(y), bias), []
     for _ in range(trees):
-        p = 1 / (1 + np.exp(-raw))
-        t = _grow(tx, ty - p, p * (1 - p), depth, least)
+        p = 1 / (1 + np.exp(-now))
+        t = _grow(x, y - p, p * (1 - p), depth, least)
         grown.append(t)
-        raw += rate * _value(t, tx)
-    model = {"bias": bias, "rate": rate, "trees": grown, "a": 1.0, "b": 0.0}
-    s, cy = _raw(model, x[held]), y[held].astype(float)
-    target = np.where(cy > 0, (cy.sum() + 1) / (cy.sum() + 2), 1 / ((1 - cy).sum() + 2))
+        now += rate * _value(t, x)
+    return {"bias": bias, "rate": rate, "trees": grown}
+
+
+def platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) such that 1 / (1 + exp(-(a s + b))) is the chance that a row of raw score ``s`` is positive."""
+    y = y.astype(float)
+    target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps on the two parameters
         p = 1 / (1 + np.exp(-(a * s + b)))
@@ -72,9 +74,4 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
         hess = np.array([[(w * s * s).sum() + 1e-3, (w * s).sum()], [(w * s).sum(), w.sum() + 1e-6]])
         step = np.linalg.solve(hess, grad)
         a, b = a - float(np.clip(step[0], -1, 1)), b - float(np.clip(step[1], -1, 1))
-    model["a"], model["b"] = a, b
-    return model
-
-
-def probability(model: dict, x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-(model["a"] * _raw(model, x) + model["b"])))
+    return a, b

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -243,11 +244,55 @@ def test_trees_find_what_the_patterns_miss_and_leave_dates_alone():
     assert "secret" in added(PERSONAL[6]) and "email" in added(PERSONAL[7])
     assert not added(PERSONAL[8])
     rows = pii.synthetic(2000, seed=99)
-    p = pii.boosting.probability(model, np.array([pii.features(t, k, s, e) for t, k, s, e, _ in rows]))
+    p = pii.probability(model, [r[1] for r in rows], np.array([pii.features(t, k, s, e) for t, k, s, e, _ in rows]))
     right = np.mean((p >= 0.5) == np.array([r[4] for r in rows], bool))
     assert right > 0.9
 
 
+def test_thresholds_are_calibrated_by_kind():
+    model = pii.trained()
+    rows = pii.synthetic(6000, seed=5)
+    kinds, y = np.array([r[1] for r in rows]), np.array([r[4] for r in rows])
+    p = pii.probability(model, kinds.tolist(), np.array([pii.features(t, k, s, e) for t, k, s, e, _ in rows]))
+    for k in pii.KINDS:
+        taken = (kinds == k) & (p >= model["least"][k])
+        assert taken.sum() > 50 and y[taken].mean() > 0.9, k
+    assert len(set(model["least"].values())) > 1
+
+
+def test_long_keys_and_keys_without_digits():
+    model = pii.trained()
+    for key in ("aZ9_" * 60, "Qx7Lm2Pz8Rt4Vn6Wk1Ys3Hb5" * 8):
+        text = f'token = "{key}" and more'
+        assert ("secret", 9, 9 + len(key)) in pii.all_spans(text, model)[1]
+    assert pii.candidates("KeyWithoutAnyDigitInside here", []) == [("secret", 0, 24)]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_chosen_spans_are_greedy(seed):
+    r = np.random.default_rng(seed)
+    found = [("phone", int(a), int(a) + int(n)) for a, n in zip(r.integers(0, 300, 120), r.integers(1, 25, 120), strict=True)]
+    p = r.integers(0, 6, 120) / 5
+    taken = []
+    for i in sorted(range(120), key=lambda i: (-p[i], found[i][1], found[i][2])):
+        if p[i] >= 0.4 and all(found[i][2] <= s or found[i][1] >= e for _, s, e in taken):
+            taken.append(found[i])
+    assert pii.chosen(found, p, {"phone": 0.4}) == taken
+
+
+def test_many_candidates_take_time_in_proportion():
+    model = pii.trained()
+
+    def took(n):
+        text = " ".join(f"call 555-{i % 900 + 100}-{i % 9000 + 1000}" for i in range(n))
+        began = time.process_time()
+        pii.all_spans(text, model)
+        return time.process_time() - began
+
+    took(500)
+    assert took(8000) < 8 * took(2000)
+
+
 def test_redaction_keeps_columns(spark):
     df = frame(spark, PERSONAL + [None])
     out = pii.redacted(df)
