@@ -2,13 +2,17 @@
 
 Counting. Tasks count the words and bigrams of their own training texts, and send
 them as packed blocks, one for each hash range ("part"); a part's blocks are summed
-in one task. There are as many parts as the input needs to keep them small.
+in one task. There are as many parts as the input needs to keep them small, up to
+2**MOST_BITS; beyond that parts grow. Where there are more than 2**FAN_BITS parts,
+blocks are first summed by coarser ranges, so that no block holds only a few keys.
 
 Model. A bigram counted c times has level 1 + floor(log2 c). The filter holds the
 items (bigram, 1) ... (bigram, level), so a count is read back by probing level
 after level until one is missing (Talbot and Osborne 2007). Errors are one-sided
 and rare. A word's probability given the one before is smoothed with a Dirichlet
-prior: (c12 + mu * p(w2)) / (c1 + mu), with add-one word probabilities p.
+prior: (c12 + mu * p(w2)) / (c1 + mu), with add-one word probabilities p. As c12 is a
+quantised count, a context's probabilities need not sum to one; the score is the sum
+of their logarithms all the same.
 
 Bounds. The word table (exact counts) and the filter are broadcast; each has a byte
 bound. What doesn't fit, always the rarest words or bigrams by level, isn't given
@@ -19,8 +23,9 @@ come the bigrams that the filter lacks. Frequent keys, which could be hot, are a
 in the broadcast part.
 
 Odd cases: null and empty texts are the end token alone; repeated rows count and
-are scored each; without training rows every count is 0 and N is 0; other columns
-are ignored.
+are scored each; without training rows every count is 0 and N is 0; a very long text
+is counted and scored whole, in a slice of its own; there are no ties to break; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,7 +46,9 @@ ITEM_BITS = 12
 LEVELS = 40
 MU = 4.0
 PART_BYTES = 4 << 20  # text for each part
-FLUSH = 1_000_000  # tokens that a task counts at once
+MOST_BITS = 20  # at most 2**20 parts: 16 MB of a part's place and size in the broadcast
+FAN_BITS = 13  # parts that one task sends blocks to
+FLUSH = 1_000_000  # tokens, or keys, that a task sums at once
 
 START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 _PAIR = U64(0xD6E8FEB86659FD93)
@@ -108,20 +115,60 @@ def _part(h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _rest(h: np.ndarray, bits: int) -> np.ndarray:
-    """40 bits of a bigram's hash beside its part; a part holds some 100,000 bigrams, so two share them with a probability of about 1e-7."""
+    """40 bits of a bigram's hash beside its part; n bigrams of a part share them in about n**2 / 2**41 pairs, less than one in a million of them for n of up to 2 million."""
     return (h << U64(bits)) >> U64(24)
 
 
-def count(train: DataFrame, bits: int) -> DataFrame:
+def _cut(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of the runs of an ascending array."""
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+    return zip(part[first].tolist(), first.tolist(), np.append(first[1:], len(part)).tolist(), strict=True)
+
+
+def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "keys", "counts"])
+
+
+def count(train: DataFrame, bits: int, fan: int = FAN_BITS) -> DataFrame:
     """One row for each kind and part: keys (words 8 bytes, bigrams 5), counts (uint64, deflated), levels (numbers of keys at each level), total."""
+    if bits > MOST_BITS or bits - fan > 8:
+        raise ValueError(f"2**{bits} parts of 2**{fan} at a time are too many")
+    wide = max(0, bits - fan)  # bits of a part's number that the first blocks' keys hold
+    coarse = bits - wide
+    width = 6 if wide else 5
 
-    def blocks(kind: int, h: np.ndarray) -> Iterator[tuple]:
+    def blocks(kind: int, h: np.ndarray) -> list[tuple]:
         keys, n = _summed(h)
-        cut = np.searchsorted(_part(keys, bits), np.arange((1 << bits) + 1))
-        for p in np.flatnonzero(np.diff(cut)).tolist():
-            own = keys[cut[p] : cut[p + 1]]
-            raw = _packed(own, 8) if kind == 0 else _packed(_rest(own, bits), 5)
-            yield kind, p, raw, zlib.compress(n[cut[p] : cut[p + 1]].astype("<u4").tobytes(), 1)
+        rows = []
+        for p, i, j in _cut(_part(keys, coarse)):
+            own = keys[i:j]
+            raw = _packed(own, 8) if kind == 0 else _packed((own << U64(coarse)) >> U64(64 - 8 * width), width)
+            rows.append((kind, p, raw, zlib.compress(n[i:j].astype("<u4").tobytes(), 1)))
+        return rows
+
+    def finer(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of a coarse range summed, up to FLUSH keys at once, and cut into those of its parts."""
+        kind, part = (k.as_py() for k in key)
+        keys, counts, many = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            own, n = _summed(np.concatenate(keys), np.concatenate(counts))
+            sub = _part(own, bits) if kind == 0 else (part << wide) + (own >> U64(48 - wide)).astype(np.int64)
+            rest = own if kind == 0 else (own << U64(16 + wide)) >> U64(24)
+            yield from _batches([(kind, p, _packed(rest[i:j], 5 if kind else 8), zlib.compress(n[i:j].astype("<u8").tobytes(), 1)) for p, i, j in _cut(sub)])
+
+        for b in group:
+            for x, c in zip(b.column("keys"), b.column("counts"), strict=True):
+                keys.append(_unpacked(x.as_buffer(), width if kind else 8))
+                counts.append(np.frombuffer(zlib.decompress(c.as_buffer()), "<u4").astype(np.int64))
+                many += len(keys[-1])
+                if many >= FLUSH:
+                    yield from flush()
+                    keys, counts, many = [], [], 0
+        if many:
+            yield from flush()
+        trim()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = [[], []]
@@ -129,10 +176,9 @@ def count(train: DataFrame, bits: int) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for kind in (0, 1):
-                rows = list(blocks(kind, np.concatenate(held[kind])))
+                rows = blocks(kind, np.concatenate(held[kind]))
                 held[kind].clear()
-                for i in range(0, len(rows), 64):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["kind", "part", "keys", "counts"])
+                yield from _batches(rows)
 
         for b in batches:
             for _, _, data, offs in slices(b.column(0)):
@@ -154,7 +200,7 @@ def count(train: DataFrame, bits: int) -> DataFrame:
         keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
         for b in group:
             new = [_unpacked(x.as_buffer(), width) for x in b.column("keys")]
-            n = [np.frombuffer(zlib.decompress(x.as_buffer()), "<u4").astype(np.int64) for x in b.column("counts")]
+            n = [np.frombuffer(zlib.decompress(x.as_buffer()), "<u8" if wide else "<u4").astype(np.int64) for x in b.column("counts")]
             keys, counts = _summed(np.concatenate([keys, *new]), np.concatenate([counts, *n]))
         per = np.bincount(level(counts), minlength=LEVELS + 1)[1 : LEVELS + 1]
         yield pa.RecordBatch.from_arrays(
@@ -163,7 +209,10 @@ def count(train: DataFrame, bits: int) -> DataFrame:
         )
 
     texts = train.select(F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, _COUNTED).groupBy("kind", "part").applyInArrow(merge, f"{_COUNTED}, levels array<long>, total long")
+    sent = texts.mapInArrow(run, _COUNTED)
+    if wide:
+        sent = sent.groupBy("kind", "part").applyInArrow(finer, _COUNTED)
+    return sent.groupBy("kind", "part").applyInArrow(merge, f"{_COUNTED}, levels array<long>, total long")
 
 
 def _masks(x: np.ndarray) -> np.ndarray:
@@ -228,11 +277,12 @@ def _least_level(per: np.ndarray, cost: np.ndarray, most: int) -> int:
     return int(fits[0]) + 1 if len(fits) else LEVELS + 1
 
 
-def fit(train: DataFrame, word_bytes: int = WORD_BYTES, filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame]:
-    """(model, all counts as ``count`` returns them) from the texts of ``train``."""
+def fit(train: DataFrame, word_bytes: int = WORD_BYTES, filter_bytes: int = FILTER_BYTES, bits: int | None = None, fan: int = FAN_BITS) -> tuple[Model, DataFrame]:
+    """(model, all counts as ``count`` returns them) from the texts of ``train``. ``bits``: there are 2**bits parts; by default as the texts' bytes ask for."""
     size = train.agg(F.sum(F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 8).alias("n"), F.count("*").alias("docs")).first()
-    bits = max(6, int(np.ceil(np.log2(max(1, (size["n"] or 0) / PART_BYTES)))))
-    counted = stored(count(train, bits))
+    if bits is None:
+        bits = min(MOST_BITS, max(6, int(np.ceil(np.log2(max(1, (size["n"] or 0) / PART_BYTES))))))
+    counted = stored(count(train, bits, fan))
     sums = {r["kind"]: r for r in counted.groupBy("kind").agg(*(F.sum(F.col("levels")[i]).alias(f"l{i}") for i in range(LEVELS)), F.sum("total").alias("total")).toArrow().to_pylist()}
     per = {k: np.array([sums[k][f"l{i}"] if k in sums else 0 for i in range(LEVELS)], np.int64) for k in (0, 1)}
     model = Model(bits, sums[0]["total"] if 0 in sums else 0, int(per[0].sum()), size["docs"])
@@ -248,7 +298,8 @@ def fit(train: DataFrame, word_bytes: int = WORD_BYTES, filter_bytes: int = FILT
                     a, c = bloom(keys, lv, pair_level).tobytes(), b""
                 else:
                     a, c = keys[lv >= word_level].tobytes(), counts[lv >= word_level].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([r["kind"]], pa.int32()), pa.array([r["part"]], pa.int32()), pa.array([a], pa.binary()), pa.array([c], pa.binary())], ["kind", "part", "a", "c"])
+                if a:
+                    yield pa.RecordBatch.from_arrays([pa.array([r["kind"]], pa.int32()), pa.array([r["part"]], pa.int32()), pa.array([a], pa.binary()), pa.array([c], pa.binary())], ["kind", "part", "a", "c"])
 
     # At most word_bytes and filter_bytes reach the driver.
     got = counted.select("kind", "part", "keys", "counts").mapInArrow(top, "kind int, part int, a binary, c binary").toArrow()
@@ -267,6 +318,8 @@ def fit(train: DataFrame, word_bytes: int = WORD_BYTES, filter_bytes: int = FILT
         blocks.append(own)
         end += len(own)
     model.filter = np.concatenate(blocks)
+    del got, blocks
+    pa.default_memory_pool().release_unused()
     return model, counted
 
 
@@ -414,7 +467,7 @@ def _with_rest(out: DataFrame, model: Model, counted: DataFrame, mu: float) -> D
         missing.append(closed)
         done = done.join(closed.select("row", "k", "b", "s"), "row", "left").select(*kept, add("n_known", "k"), add("base_score", "b"), add("score", "s"))
     if least[1] > 1:
-        # Parts number below 2**23, so a bigram's part and 40 bits fit a long.
+        # At most MOST_BITS and 40 bits, so a bigram's part and the rest of its hash fit a long.
         folded = F.shiftrightunsigned(F.col("k.pairs"), 64 - bits) * F.lit(1 << 40) + F.shiftrightunsigned(F.shiftleft(F.col("k.pairs"), bits), 24)
         probes = [x.select("row", F.explode(F.arrays_zip("pairs", "pair_n", "pair_v", "pair_c")).alias("k")).select("row", folded.alias("key"), F.col("k.pair_n").alias("n"), F.col("k.pair_v").cast("double").alias("v"), F.col("k.pair_c").cast("double").alias("context")) for x in missing]
         lv = F.floor(F.log2("c")) + 1

@@ -69,6 +69,22 @@ def test_whole_model(spark):
     compared(spark, texts(), 0.95)
 
 
+@pytest.mark.parametrize("bounds", [{}, {"word_bytes": 16 * 20, "filter_bytes": 200}])
+def test_very_many_parts(spark, bounds):
+    """Forced far beyond what the texts ask for: coarse ranges first, then their parts; the scores stay those of the model."""
+    docs = frame(spark, texts())
+    out = lm.crc_mod(F.col("doc_id"), 7) == 2
+    few = {tuple(r) for r in lm.score(docs, *lm.fit(docs.where(~out)), out).collect()}
+    model, counted = lm.fit(docs.where(~out), bits=11, fan=3, **bounds)
+    many = {tuple(r) for r in lm.score(docs, model, counted, out).collect()}
+    assert len(few) == len(many)
+    key = lambda r: (str(r[0]), r[2:])
+    same = sum(a[:5] == b[:5] and a[5] == pytest.approx(b[5]) and a[6] == pytest.approx(b[6], rel=0.02) for a, b in zip(sorted(few, key=key), sorted(many, key=key), strict=True))
+    assert same >= 0.95 * len(few)
+    with pytest.raises(ValueError, match="too many"):
+        lm.count(docs, 24)
+
+
 def test_no_document_trains(spark):
     rows = [(d, "a b c") for d in range(60) if held(d)]
     out = lm.report(frame(spark, rows)).collect()
