@@ -197,11 +197,16 @@ def test_decontamination(spark):
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n_hit", F.lit(1))
     want = leaks(rows_of(df), items, 10)
     assert Counter(tuple(r) for r in decontaminate.report(df, bench, 10).collect()) == want
-    small = decontaminate.contamination(df, bench, 10, block_bytes=300)  # many blocks
-    assert Counter((r.doc_id, r.n_words, len(r["items"]) > 0) for r in small.collect()) == Counter({k: v for k, v in Counter({(a, b, d > 0): 0 for a, b, c, d, e, f in want}).items()} | Counter((a, b, d > 0) for (a, b, c, d, e, f), n in want.items() for _ in range(n)))
-    clean = decontaminate.clean(df.drop("_hit"), bench, 10)
-    assert clean.columns == df.drop("_hit").columns
-    assert Counter(r.doc_id for r in clean.collect()) == Counter(a for (a, b, c, d, e, f), n in want.items() if not f for _ in range(n))
+    for block in (1 << 20, 0):  # broadcast, and a shuffle of fingerprints
+        full = decontaminate.contamination(df, bench, 10, block).collect()
+        digest = lambda r: (r.doc_id, r.n_words, int(np.unpackbits(np.frombuffer(r.hits, np.uint8)).sum()), len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), len(r.hits) > 0)
+        assert Counter(map(digest, full)) == want
+        clean = decontaminate.clean(df, bench, 10, block)
+        assert clean.columns == df.columns
+        assert Counter(r.doc_id for r in clean.collect()) == Counter(a for (a, b, c, d, e, f), n in want.items() if not f for _ in range(n))
+        assert decontaminate.contamination(df.where("false"), bench, 10, block).collect() == []
+    joined = decontaminate._joined(df, decontaminate._items(bench), 10, chunk_bytes=200)[1].collect()  # several chunks a document
+    assert {(r.hits, tuple(r["items"])) for r in joined} == {(r.hits, tuple(r["items"])) for r in full if r.hits}
     none = decontaminate.report(df, bench.where("false"), 10).collect()
     assert len(none) == len(rows_of(df)) and not any(r.contaminated for r in none)
 
