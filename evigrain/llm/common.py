@@ -209,10 +209,12 @@ def dealt(bounds: np.ndarray, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
     return low + ((tie >> U64(32)) * np.maximum(high - low, 1).astype(U64) >> U64(32)).astype(np.int64)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Written as Parquet in the shared folder and read back: lineage ends here and nothing upstream runs twice."""
+def stored(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """Written as Parquet in the shared folder and read back: lineage ends here and nothing upstream runs twice. ``paths`` gets the folder, for released()."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -29,7 +29,8 @@ A document's set is its distinct word k-gram hashes (64 bits). Steps:
 Odd cases: null, empty and wordless texts have an empty set and link with
 nothing; fewer words than k make one shingle; repeated rows are one class; rows
 with the same doc_id are one document; a null doc_id takes part as a text but is
-never kept; other columns are ignored.
+never kept; a very long text has its whole set, which is compared only with sets of
+a size that can reach the threshold; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, SPACE_WORDS, U64, cache, doc_frame, grams, mix, slices, stored, trim, words
+from .common import MULT, SPACE_WORDS, U64, cache, doc_frame, grams, mix, released, slices, stored, trim, words
 from .components import components
 
 PASSES, BUCKETS, MANTISSA = 4, 32, 10
@@ -50,6 +51,8 @@ SMALL = 64
 MARGIN = 0.25  # 7 standard deviations of the estimate over 128 registers
 HUB_ROUNDS = 2
 BLOCK_ROWS, BLOCK_BYTES = 512, 2 << 20  # members and bytes of full sets in one block of a key
+LONG_BYTES = 256 << 10  # full sets from here on are blocked by size class
+HUB_ROWS = 256  # members that one copy of a hub's full set is compared with
 DENSE = 32  # an element that more members have is a column of the matrix product
 ID_BYTES = 32 << 20  # candidate ids in one broadcast
 COUNT_BITS = 20  # the table of rough counts has 2**20 numbers, whatever the input
@@ -212,7 +215,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return text.mapInArrow(run, "id long, full binary")
 
 
-def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int, made: list[str]) -> DataFrame:
     """The pairs (a, b) that reach the threshold on full sets."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,29 +234,44 @@ def _confirmed(pairs: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int)
                 yield b.select(["a", "b"]).filter(pa.array(ok))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order: the set of ``a`` (null ``b``), then those of the ``b`` to compare it with."""
+        hub, now = np.zeros(0, U64), None
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("full_a"), b.column("full_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
+            mates, ok = b.column("b").to_pylist(), []
+            for a, mate, full in zip(b.column("a").to_pylist(), mates, b.column("full"), strict=True):
+                own = np.frombuffer(full.as_buffer(), U64)
+                if mate is None:
+                    hub, now = own.copy(), a
+                    ok.append(False)
+                    continue
+                if now != a:
+                    raise ValueError("a member came without its hub")
+                x, y = (own, hub) if len(own) <= len(hub) else (hub, own)
                 at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
                 common = int((y[at] == x).sum()) if len(x) else 0
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        trim()
 
     for side in "ab":
         own = sigs.select(F.col("id").alias(side), F.col("sig").alias(f"sig_{side}"), F.col("n").alias(f"n_{side}"))
         pairs = pairs.join(own, side)
     pairs = pairs.mapInArrow(near, "a long, b long")
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("full").alias(f"full_{side}")), side)
-    return pairs.mapInArrow(same, "a long, b long")
+    pairs = stored(pairs, made)
+    # The set of ``a``, often a hub, goes once to each HUB_ROWS of its members, and never with a member's row.
+    salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB_ROWS).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")
+    members = pairs.join(salts, "a").select("a", salt, "b").join(sets, F.col("b") == F.col("id")).select("a", "salt", "b", "full")
+    hubs = salts.join(sets, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "full")
+    both = hubs.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return both.select("a", "b", "full").mapInArrow(same, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id, kept."""
-    found = stored(_describe(docs, k, percent))
+    made: list[str] = []  # folders that the result doesn't read
+    held: list[str] = []  # those of labels; it reads the last
+    found = stored(_describe(docs, k, percent), made)
     least = found.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     member = stored(found.select("doc_id", "n", "set_key").join(least, "set_key", "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")))
     reps = least.where(F.col("rep").isNotNull()).select(F.col("rep").alias("id"), "set_key")
@@ -261,39 +279,43 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keyed = classes.select("id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("hub")).where("c > 1").select("key", "hub")
     # What shares a key with another class: the only rows that later steps read.
-    rows = stored(keyed.join(stored(shared), "key").select("key", "id", "hub"))
-    ids = stored(rows.select("id").distinct())
+    rows = stored(keyed.join(stored(shared, made), "key").select("key", "id", "hub"), made)
+    ids = stored(rows.select("id").distinct(), made)
     labels = ids.select("id", F.col("id").alias("label"))
+    edges = tried = None
     if not ids.isEmpty():
-        sigs = stored(found.join(ids, found.doc_id == ids.id).select("id", "n", "sig").dropDuplicates(["id"]))
-        sets = stored(_full_sets(docs, ids, k))
-        edges = tried = None
+        sigs = stored(found.join(ids, found.doc_id == ids.id).select("id", "n", "sig").dropDuplicates(["id"]), made)
+        sets = stored(_full_sets(docs, ids, k), made)
         for step in range(HUB_ROUNDS + 1):
             if step == 0:
                 now = rows.select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a <> b")
             else:
                 labelled = rows.select("key", "id").join(labels, "id")
                 split = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by(F.struct("id", "label"), F.xxhash64("id", F.lit(step))).alias("hub")).where("lo <> hi")
-                split = stored(split.select("key", "lo", "hub.*").toDF("key", "lo", "hub", "hub_label"))
+                split = stored(split.select("key", "lo", "hub.*").toDF("key", "lo", "hub", "hub_label"), made)
                 if split.isEmpty():
                     break
                 if step == HUB_ROUNDS:
-                    more = stored(_linked_in_groups(labelled.join(split.select("key"), "key"), sets, percent))
+                    more = stored(_linked_in_groups(labelled.join(split.select("key"), "key"), sets, percent), made)
                     if not more.isEmpty():
                         edges = more if edges is None else edges.union(more)
-                        labels = stored(ids.join(components(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label")))
+                        labels = stored(ids.join(components(edges, made), "id", "left").select("id", F.coalesce("label", "id").alias("label")), held)
                     break
                 now = labelled.join(split, "key").where("label <> hub_label").select(F.col("id").alias("a"), F.col("hub").alias("b"))
             now = now.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            now = stored(now.join(tried, ["a", "b"], "left_anti") if tried is not None else now)
+            now = stored(now.join(tried, ["a", "b"], "left_anti") if tried is not None else now, made)
             tried = now if tried is None else tried.union(now)
             if now.isEmpty():
                 continue
-            more = stored(_confirmed(now, sigs, sets, percent))
+            more = stored(_confirmed(now, sigs, sets, percent, made), made)
             if more.isEmpty():
                 continue
             edges = more if edges is None else edges.union(more)
-            labels = stored(ids.join(components(edges), "id", "left").select("id", F.coalesce("label", "id").alias("label")))
+            labels = stored(ids.join(components(edges, made), "id", "left").select("id", F.coalesce("label", "id").alias("label")), held)
+    if edges is None:
+        labels = docs.sparkSession.createDataFrame([], "id long, label long")
+    for path in made + held[:-1]:
+        released(docs.sparkSession, path)
     out = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -346,6 +368,12 @@ def joining(label: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
 def _linked_in_groups(rows: DataFrame, sets: DataFrame, percent: int, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``rows`` (key, id, label): links (a, b) between members of one key with different labels, enough to join all that are near."""
     full = rows.join(sets.withColumnsRenamed({"id": "_id"}), F.col("id") == F.col("_id")).select("key", "id", "label", "full")
+    # Long sets go by size: a class and the next one below it hold all that can be near (a little more than the ratio guards the rounding).
+    size, long = F.octet_length("full"), F.lit(LONG_BYTES)
+    step = F.floor(F.log(size / long) / float(np.log(101 / percent))).cast("int") + 1
+    short = F.when(size * 101 >= long * percent, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    full = full.withColumn("_class", F.explode(F.when(size < long, short).otherwise(F.array(step, step + 1))))
+    full = full.withColumn("key", F.struct("key", "_class")).drop("_class")
     size = full.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / block_rows), F.ceil(F.sum(F.octet_length("full")) / block_bytes)).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = full.join(size, "key").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -367,7 +395,6 @@ def _linked_in_groups(rows: DataFrame, sets: DataFrame, percent: int, block_rows
 
 def first_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The document of least doc_id of each component, with all columns; rows without an id stay."""
-    keep = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    keep = keep.withColumnRenamed("doc_id", "_kept_id")
-    out = docs.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return out.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    keep = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct().toDF("kept_id")
+    out = docs.where(docs["doc_id"].isNotNull()).join(keep, docs["doc_id"] == keep["kept_id"], "left_semi")
+    return out.dropDuplicates(["doc_id"]).unionByName(docs.where(docs["doc_id"].isNull()))

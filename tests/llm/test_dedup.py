@@ -9,7 +9,7 @@ import pytest
 from evigrain.llm import dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-SCHEMA = "doc_id long, text string, n long, keys string, rep int"
+SCHEMA = "doc_id long, text string, n long, keys string, rep int, _kept_id int, kept_id int"
 
 
 def shingles(text, k):
@@ -61,7 +61,7 @@ def corpus(seed=3):
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(d, t, 7, "x", 1) for d, t in rows], SCHEMA).repartition(3)
+    return spark.createDataFrame([(d, t, 7, "x", 1, 2, 3) for d, t in rows], SCHEMA).repartition(3)
 
 
 @pytest.mark.parametrize("k", [4, 5])
@@ -81,7 +81,7 @@ def test_empty_table_and_repeated_rows(spark):
 def test_first_copies_keeps_columns_and_nulls(spark):
     rows = [(1, "x y z a b c"), (2, "x y z a b c"), (3, None), (4, ""), (None, "q")]
     out = dedup.first_copies(frame(spark, rows))
-    assert out.columns == ["doc_id", "text", "n", "keys", "rep"]
+    assert out.columns == ["doc_id", "text", "n", "keys", "rep", "_kept_id", "kept_id"]
     assert sorted(r.doc_id is None and -1 or r.doc_id for r in out.collect()) == [-1, 1, 3, 4]
 
 
@@ -157,3 +157,51 @@ def test_groups_larger_than_a_block(spark):
         own[q] = p
     want = brute(rows, 4, 80)
     assert {d: root(d) for d, _ in rows} == {d: v[1] for d, v in want.items()}
+
+
+@pytest.mark.parametrize("lo, hi", [(64, 80), (80, 200)])
+def test_bands_meet_at_the_threshold(lo, hi):
+    """Sets that leave registers empty, or nearly, at a similarity of just 0.8."""
+    r = np.random.default_rng(lo)
+    left, right = [], []
+    for _ in range(3000):
+        n = int(r.integers(lo, hi))
+        both = next(c for c in range(n) if 100 * c >= 80 * (2 * n - c))
+        x = r.integers(0, 1 << 63, 2 * n - both).astype(np.uint64)
+        left.append(np.sort(x[:n]))
+        right.append(np.sort(x[-n:]))
+    a, b = (dedup.band_keys(dedup.registers(s)) for s in (left, right))
+    assert (a == b).any(axis=1).all()
+
+
+def test_long_sets_go_by_size(spark, monkeypatch):
+    """Links between sets of every size, with size classes from 20 elements on."""
+    monkeypatch.setattr(dedup, "LONG_BYTES", 160)
+    r = np.random.default_rng(5)
+    pool = np.unique(r.integers(0, 1 << 62, 400, dtype=np.uint64))
+    sets = [np.sort(pool[: int(n)]) for n in r.integers(8, 400, 120)] + [np.sort(pool[:n]) for n in (16, 20, 25, 80, 100, 125)]
+    full = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "id long, full binary")
+    members = spark.createDataFrame([(1, i, i) for i in range(len(sets))], "key long, id long, label long")
+    links = [(x.a, x.b) for x in dedup._linked_in_groups(members, full, 80, block_rows=10, block_bytes=4000).collect()]
+    near = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    assert all(near(a, b) for a, b in links)
+
+    def parts(pairs):
+        own = list(range(len(sets)))
+        root = lambda x: x if own[x] == x else root(own[x])
+        for a, b in pairs:
+            p, q = sorted((root(a), root(b)))
+            own[q] = p
+        return [root(i) for i in range(len(sets))]
+
+    assert parts(links) == parts([(a, b) for a in range(len(sets)) for b in range(a) if near(a, b)])
+
+
+def test_very_long_texts(spark):
+    r = random.Random(4)
+    long = [f"w{r.randrange(10**6)}" for _ in range(60_000)]
+    other = list(long)
+    for i in range(0, 60_000, 90):
+        other[i] = "changed"
+    out = {x.doc_id: x for x in dedup.near_duplicates(frame(spark, [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[::-1]))])).collect()}
+    assert [out[i].component_id for i in (1, 2, 3)] == [1, 1, 3] and out[1].n_shingles > 59_000
