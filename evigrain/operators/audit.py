@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Chunking
 from ..functions import fixed, text
 
+#: Type of each required field, for a corpus that lacks the column.
+_TYPES = {"page_start": "int", "page_end": "int", "estimated_tokens": "int", "pages": "array<int>", "sections": "array<string>", "safety_tags": "array<string>"}
 REQUIRED = ("chunk_id", "source_id", "title", "source_url", "source_sha256", "page_start", "page_end", "pages", "sections", "text", "estimated_tokens", "safety_tags", "publisher")
 
 
@@ -18,9 +20,19 @@ class AuditError(RuntimeError):
 
 
 def _first_of_id(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with ``_first``: is it the first (by source, then ordinal) of its chunk_id? An aggregation and a join, so that an id with very many copies is no single window."""
-    first = chunks.groupBy("chunk_id").agg(F.min(F.struct("source_id", "chunk_ordinal")).alias("_least"))
-    return chunks.join(first, "chunk_id", "left").withColumn("_first", F.coalesce(F.col("_least") == F.struct("source_id", "chunk_ordinal"), F.lit(True))).drop("_least")
+    """``chunks`` with ``_first``: is it the first (by source, then ordinal) of its chunk_id? Of rows alike in all three, one is.
+
+    Aggregations and a join of ids alone, so that an id with very many copies is no single window; only rows alike in
+    id, source and ordinal are numbered.
+    """
+    alike = chunks.groupBy("chunk_id", "source_id", "chunk_ordinal").agg(F.count("*").alias("n"))
+    least = alike.groupBy("chunk_id").agg(F.min(F.struct("source_id", "chunk_ordinal", "n")).alias("_least"))
+    rows = chunks.join(least, "chunk_id", "left")
+    mine = F.coalesce(F.struct("source_id", "chunk_ordinal") == F.struct("_least.source_id", "_least.chunk_ordinal"), F.lit(True))
+    rows = rows.withColumns({"_first": mine, "_alike": F.coalesce(mine & (F.col("_least.n") > 1), F.lit(False))}).drop("_least")
+    order = Window.partitionBy("chunk_id").orderBy(F.lit(1))
+    numbered = rows.where("_alike").withColumn("_first", F.row_number().over(order) == 1)
+    return rows.where("not _alike").unionByName(numbered).drop("_alike")
 
 
 def duplicate_ids(chunks: DataFrame) -> DataFrame:
@@ -34,8 +46,12 @@ def orphans(chunks: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def chunk_errors(chunks: DataFrame, manifest: DataFrame, metadata: DataFrame, config: Chunking | None = None) -> DataFrame:
-    """``chunks`` (of manifest sources) with ``errors``, an array of codes, and ``below_minimum``."""
+    """``chunks`` (of manifest sources) with ``errors``, an array of codes, and ``below_minimum``. A required column that isn't there is missing in every row."""
     config = config or Chunking()
+    if "source_id" not in chunks.columns:
+        raise AuditError("the chunks have no source_id")
+    absent = [x for x in REQUIRED if x not in chunks.columns]
+    chunks = chunks.withColumns({x: F.lit(None).cast(_TYPES.get(x, "string")) for x in absent})
     m = manifest.select("source_id", F.col("title").alias("_title"), F.coalesce("exclude_pages_from_index", F.array().cast("array<int>")).alias("_excluded"), F.col("include_page_ranges").alias("_ranges"))
     d = metadata.select("source_id", F.col("final_url").alias("_url"), F.col("sha256").alias("_sha"))
     rows = _first_of_id(chunks).join(m, "source_id").join(d, "source_id", "left")
@@ -43,7 +59,7 @@ def chunk_errors(chunks: DataFrame, manifest: DataFrame, metadata: DataFrame, co
     body = text.strip(F.coalesce(c("text"), F.lit("")))
     tokens = text.estimate_tokens(body)
     pages = c("pages")
-    lacking = reduce(lambda a, b: a | b, (c(x).isNull() for x in REQUIRED if x in chunks.columns), F.lit(False))
+    lacking = reduce(lambda a, b: a | b, (c(x).isNull() for x in REQUIRED), F.lit(False))
     ordered = F.array_sort(F.array_distinct(pages)) == pages
     filled = F.size(pages) > 0
     outside = lambda p: ~F.exists(c("_ranges"), lambda r: p.between(r["start"], r["end"]))
@@ -64,7 +80,7 @@ def chunk_errors(chunks: DataFrame, manifest: DataFrame, metadata: DataFrame, co
     ]
     found = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), name) for name, test in checks)))
     errors = F.when(lacking, F.array(F.lit("missing_fields"))).otherwise(found)
-    return rows.withColumns({"errors": errors, "below_minimum": ~lacking & (tokens < config.minimum_estimated_tokens)}).drop("_first", "_title", "_excluded", "_ranges", "_url", "_sha")
+    return rows.withColumns({"errors": errors, "below_minimum": ~lacking & (tokens < config.minimum_estimated_tokens)}).drop("_first", "_title", "_excluded", "_ranges", "_url", "_sha", *(x for x in absent if x != "chunk_id"))
 
 
 def audit_report(checked: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import Search
 from .dense import dense_topk
-from .lexical import bm25, ranked
+from .lexical import Postings, bm25, ranked
 
 
 def fuse(lists: dict[str, DataFrame], key: str = "chunk_id", constant: int = 60, k: int = 10, decimals: int = 12) -> DataFrame:
@@ -31,8 +31,8 @@ def materialised(ranks: DataFrame, chunks: DataFrame, key: str = "chunk_id") ->
     return chunks.join(ranks, key)
 
 
-def hybrid(chunks: DataFrame, queries: DataFrame, config: Search | None = None, key: str = "chunk_id", vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, hypothetical: DataFrame | None = None, sources: tuple[str, ...] | None = None, decimals: int = 6) -> DataFrame:
-    """``chunks`` (key, source_id, terms), ``queries`` (query_id, terms), vectors on either side if there are any -> fused ranks.
+def hybrid(chunks: DataFrame | Postings, queries: DataFrame, config: Search | None = None, key: str = "chunk_id", vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, hypothetical: DataFrame | None = None, sources: tuple[str, ...] | None = None, decimals: int = 6) -> DataFrame:
+    """``chunks`` (key, source_id, terms, or their postings), ``queries`` (query_id, terms), vectors on either side if there are any -> fused ranks.
 
     ``vectors`` (key, source_id, vector); ``hypothetical`` (query_id, vector) adds a third
     list whose rank isn't returned. Queries without a vector are ranked by words alone.

@@ -8,6 +8,8 @@ and term, and scores are summed map-side before they meet.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,18 +54,45 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.when(raw <= 0, F.lit(fixed.BM25_IDF_FLOOR)).otherwise(raw)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "chunk_id", sources: tuple[str, ...] | None = None) -> DataFrame:
-    """``docs`` (key, source_id, terms), ``queries`` (query_id, terms) -> query_id, key, score of every match.
+@dataclass(frozen=True)
+class Postings:
+    """``rows``: key, source_id, dl, term, tf; ``terms``: term, df, or None (counted when asked); ``stats``: one row n_docs, avgdl. Stored tables also have ``shelf``, a hash of the term below ``shelves``."""
+
+    rows: DataFrame
+    terms: DataFrame | None
+    stats: DataFrame
+    shelves: int = 0
+
+    @classmethod
+    def of(cls, docs: DataFrame, key: str = "chunk_id", wanted: DataFrame | None = None) -> "Postings":
+        """From ``docs`` (key, source_id, terms); only those of the ``wanted`` terms, if there are any."""
+        words = docs.select(key, "source_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+        if wanted is not None:
+            words = words.join(wanted, "term", "left_semi")
+        return cls(words.groupBy(key, "source_id", "dl", "term").agg(F.count("*").alias("tf")), None, corpus_stats(docs))
+
+
+def bm25(docs: DataFrame | Postings, queries: DataFrame, key: str = "chunk_id", sources: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` (key, source_id, terms) or their postings, ``queries`` (query_id, terms) -> query_id, key, score of every match.
 
     A source filter only restricts the matches: document frequencies and the mean
-    length stay those of the whole corpus.
+    length stay those of the whole corpus. Of stored postings only files that can
+    hold a query's term are read.
     """
     asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("repeat"))
     wanted = asked.select("term").distinct()
-    stats = corpus_stats(docs).first()  # one row of three numbers
-    words = docs.select(key, "source_id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    tf = words.groupBy(key, "source_id", "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    if isinstance(docs, Postings):
+        on = ["term"]
+        if docs.shelves:
+            wanted, on = wanted.withColumn("shelf", F.pmod(F.xxhash64("term"), F.lit(docs.shelves)).cast("int")), ["shelf", "term"]
+        tf = docs.rows.join(wanted, on, "left_semi")
+        df = docs.terms.join(wanted, on, "left_semi") if docs.terms is not None else None
+    else:
+        docs = Postings.of(docs, key, wanted)
+        tf, df = docs.rows, None
+    stats = docs.stats.first()  # one row of numbers
+    if df is None:
+        df = tf.groupBy("term").agg(F.count("*").alias("df"))
     k1, b = fixed.BM25_K1, fixed.BM25_B
     avg = F.lit(float(stats["avgdl"] or 1.0))
     part = F.col("tf") * F.lit(k1 + 1) / (F.col("tf") + F.lit(k1) * (F.lit(1 - b) + F.lit(b) * F.col("dl") / avg))

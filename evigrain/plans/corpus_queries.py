@@ -186,24 +186,25 @@ def page_range_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A chunk corpus with known faults: equal texts share an id, every 11th count is stale, the manifest lacks sources that end in 7."""
+    """A chunk corpus with known faults: equal texts share an id; titles, counts, urls, hashes and page lists of some documents are wrong; the manifest lacks sources that end in 7."""
     d = table(spark, sf_dir, "documents")
     page = (F.col("doc_id") % 7 + 1).cast("int")
     chunks = d.select(
         F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16).alias("chunk_id"), F.col("source").alias("source_id"), F.col("doc_id").cast("int").alias("chunk_ordinal"),
-        F.when(F.col("doc_id") % 13 == 0, "other").otherwise(F.col("source")).alias("title"), F.lit("u").alias("source_url"), F.lit("s").alias("source_sha256"),
-        page.alias("page_start"), page.alias("page_end"), F.array(page).alias("pages"), F.array(F.lit("S")).alias("sections"), F.coalesce("text", F.lit("")).alias("text"),
+        F.when(F.col("doc_id") % 13 == 0, "other").otherwise(F.col("source")).alias("title"),
+        F.concat(F.lit("https://"), F.when(F.col("doc_id") % 17 == 0, F.lit("x")).otherwise(F.col("source"))).alias("source_url"), F.sha2(F.when(F.col("doc_id") % 19 == 0, F.lit("x")).otherwise(F.col("source")), 256).alias("source_sha256"),
+        page.alias("page_start"), (page + F.when(F.col("doc_id") % 29 == 0, 1).otherwise(0)).alias("page_end"), F.when(F.col("doc_id") % 23 == 0, F.array(page, page)).otherwise(F.array(page)).alias("pages"), F.array(F.lit("S")).alias("sections"), F.coalesce("text", F.lit("")).alias("text"),
         (text.estimate_tokens(F.coalesce("text", F.lit(""))) + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)).alias("estimated_tokens"), text.safety_tags(F.coalesce("text", F.lit(""))).alias("safety_tags"), F.lit("p").alias("publisher"),
     )
     sources = d.select(F.col("source").alias("source_id")).distinct().where(~F.col("source_id").endswith("7"))
     rules = sources.select("source_id", F.col("source_id").alias("title"), F.array(F.lit(2)).alias("exclude_pages_from_index"), F.expr("array(named_struct('start', 1, 'end', 5))").alias("include_page_ranges"))
-    return chunks, rules, sources.select("source_id", F.lit("u").alias("final_url"), F.lit("s").alias("sha256"))
+    return chunks, rules, sources.select("source_id", F.concat(F.lit("https://"), F.col("source_id")).alias("final_url"), F.sha2("source_id", 256).alias("sha256"))
 
 
 SQL_AUDIT = f"""chunks AS (SELECT substr(sha256(coalesce(text, '')), 1, 16) AS chunk_id, source AS source_id, doc_id, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE source END AS title,
  CAST(doc_id % 7 + 1 AS INTEGER) AS page, coalesce(text, '') AS text, {_TAGS.replace('text,', "coalesce(text, ''),")} AS tags FROM documents),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY source_id, doc_id) AS rn, {sql_estimate(sql_strip('text'))} AS tokens, {sql_estimate('text')} AS raw_tokens, {sql_strip('text')} AS body FROM chunks),
-checked AS (SELECT *, (rn > 1)::INT + (title <> source_id)::INT + (body = '')::INT + (raw_tokens + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END <> tokens)::INT + (tokens > 400)::INT + (page = 2)::INT + (page > 5)::INT AS errors
+checked AS (SELECT *, (rn > 1)::INT + (title <> source_id)::INT + (body = '')::INT + (raw_tokens + CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END <> tokens)::INT + (tokens > 400)::INT + (doc_id % 17 = 0)::INT + (doc_id % 19 = 0)::INT + (doc_id % 23 = 0)::INT + (doc_id % 23 <> 0 AND doc_id % 29 = 0)::INT + (page = 2)::INT + (page > 5)::INT AS errors
  FROM ranked WHERE source_id NOT LIKE '%7')"""
 
 
@@ -224,11 +225,31 @@ def audit_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.orphans(chunks, rules)
 
 
-@query("SELECT doc_id, quality, toxic FROM labels ANTI JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) USING (doc_id)")
+@query("""SELECT m.source_id, m.source_id NOT IN (SELECT source FROM documents WHERE source IS NOT NULL) AS no_chunks, m.source_id NOT IN (SELECT role FROM conversations WHERE role IS NOT NULL) AS no_metadata
+FROM (SELECT DISTINCT source AS source_id FROM documents UNION SELECT DISTINCT role FROM conversations UNION SELECT DISTINCT lang FROM documents) m
+WHERE m.source_id IS NOT NULL AND NOT (m.source_id IN (SELECT source FROM documents WHERE source IS NOT NULL) AND m.source_id IN (SELECT role FROM conversations WHERE role IS NOT NULL))""")
 def audit_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled documents that an even-numbered half of the corpus lacks."""
-    half = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id")
-    return table(spark, sf_dir, "labels").join(half, "doc_id", "left_anti").select("doc_id", "quality", "toxic")
+    """Sources have chunks and no metadata, roles metadata and no chunks, languages neither."""
+    d, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
+    chunks, known = d.select(F.col("source").alias("source_id")), turns.select(F.col("role").alias("source_id"))
+    rules = chunks.union(known).union(d.select(F.col("lang").alias("source_id"))).where("source_id IS NOT NULL").distinct()
+    return audit.missing_sources(chunks, rules, known)
+
+
+@query("""WITH c AS (SELECT 'part' || (item_id % 3) AS source_id, item_id, text FROM benchmark WHERE length(text) > 0)
+SELECT source_id, count(*) AS chunks, count(DISTINCT item_id) AS unique_chunk_ids, CAST(0 AS BIGINT) AS errors FROM c GROUP BY ROLLUP (source_id)""")
+def audit_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sound corpus, items as chunks of three sources, passes the gate."""
+    d = table(spark, sf_dir, "benchmark").where("length(text) > 0").withColumn("source_id", F.concat(F.lit("part"), (F.col("item_id") % 3).cast("string")))
+    one = F.lit(1)
+    chunks = d.select(
+        F.col("item_id").cast("string").alias("chunk_id"), "source_id", F.col("item_id").cast("int").alias("chunk_ordinal"), F.col("source_id").alias("title"), F.lit("u").alias("source_url"), F.lit("s").alias("source_sha256"), one.alias("page_start"), one.alias("page_end"),
+        F.array(one).alias("pages"), F.array(F.lit("S")).alias("sections"), "text", text.estimate_tokens(text.strip(F.col("text"))).alias("estimated_tokens"), text.safety_tags(F.col("text")).alias("safety_tags"), F.lit("p").alias("publisher"),
+    )
+    sources = d.select("source_id").distinct()
+    rules = sources.select("source_id", F.col("source_id").alias("title"), F.array().cast("array<int>").alias("exclude_pages_from_index"), F.array().cast("array<struct<start:int,end:int>>").alias("include_page_ranges"))
+    report = audit.gate(chunks, rules, sources.select("source_id", F.lit("u").alias("final_url"), F.lit("s").alias("sha256")))
+    return report.select("source_id", "chunks", "unique_chunk_ids", "errors")
 
 
 @query(r"""SELECT page_id, regexp_matches(url, '^(?i:https)://') AND list_contains(['therin.example.net', 'm.ththth.example.net', 'thther.example.org', 'ththre.example.com'], lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), ':[0-9]*$', '')))

@@ -61,15 +61,15 @@ def screened(queries: DataFrame, nfkc: bool = True) -> DataFrame:
     return queries.withColumn("_n", normal).withColumn("safety", safety.input_decision(F.col("_n"))).drop("_n")
 
 
-def _terms(c: Column) -> Column:
+def _terms(c: Column, index: Index) -> Column:
     """Query words, cut like the index's terms."""
-    return lexical.plain_terms(F.array_join(lexical.query_terms(c), " "))
+    return index.analyser(F.array_join(lexical.query_terms(c, analyze.casefold(c)), " "))
 
 
 def search(index: Index, queries: DataFrame, config: Retrieval, vectors: DataFrame | None, hypothetical: DataFrame | None, sources: tuple[str, ...] | None) -> DataFrame:
     """``queries`` (query_id, search) -> ranked full rows with the query."""
-    q = queries.select("query_id", _terms(F.col("search")).alias("terms"))
-    ranks = fusion.hybrid(index.chunks, q, config.search, "chunk_id", index.vectors if vectors is not None else None, vectors, hypothetical, sources)
+    q = queries.select("query_id", _terms(F.col("search"), index).alias("terms"))
+    ranks = fusion.hybrid(index.lexical or index.chunks, q, config.search, "chunk_id", index.vectors if vectors is not None else None, vectors, hypothetical, sources)
     return fusion.materialised(ranks, index.chunks.drop("terms"))
 
 

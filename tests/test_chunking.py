@@ -1,13 +1,15 @@
 """Chunking, page ranges, audit and manifest."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from evigrain import config, schemas
 from evigrain.config import Chunking
-from evigrain.operators import audit, chunking
+from evigrain.functions import analyze
+from evigrain.operators import audit, chunking, lexical
 from evigrain.sources import files, manifest, store
 
 SMALL = Chunking(1, 40, 60, 80, 10, ("empty", "image_review_required"))
@@ -128,6 +130,19 @@ def test_audit_codes(spark, column, value, code):
     assert code in found
 
 
+def test_audit_counts_identical_rows_and_absent_columns(spark):
+    c, m, d = corpus(spark)
+    n = c.count()
+    again = c.unionByName(c).unionByName(c)
+    assert audit.duplicate_ids(again).count() == 2 * n and audit.duplicate_ids(c).count() == 0
+    assert audit.chunk_errors(again, m, d, SMALL).where(F.array_contains("errors", "duplicate_chunk_id")).count() == 2 * n
+    for column in ("title", "pages", "safety_tags", "publisher"):
+        rows = audit.chunk_errors(c.drop(column), m, d, SMALL).collect()
+        assert len(rows) == n and all(r.errors == ["missing_fields"] for r in rows)
+    with pytest.raises(audit.AuditError):
+        audit.chunk_errors(c.drop("source_id"), m, d, SMALL)
+
+
 def test_audit_sources(spark):
     c, m, d = corpus(spark)
     assert audit.orphans(c, m.withColumn("source_id", F.lit("other"))).first().source_id == "s"
@@ -206,11 +221,25 @@ def test_cases(spark, tmp_path):
 
 
 def test_index_round_trip(spark, tmp_path):
-    c = spark.createDataFrame([("c1", "s", ["a"]), ("c2", "t", ["b"])], "chunk_id string, source_id string, terms array<string>")
-    assert store.write_index(store.Index(c), f"{tmp_path}/i") == {"chunk_count": 2, "mode": "lexical"}
-    assert store.read_index(spark, f"{tmp_path}/i").chunks.count() == 2
+    path = f"{tmp_path}/i"
+    c = spark.createDataFrame([("c1", "s", ["a", "b", "a"]), ("c2", "t", ["b"])], "chunk_id string, source_id string, terms array<string>")
+    with pytest.raises(FileNotFoundError):
+        store.read_index(spark, path)
+    assert store.write_index(store.Index(c), path) == {"chunk_count": 2, "mode": "lexical"}
+    first = store.read_index(spark, path)
+    assert first.chunks.count() == 2
+    asked = spark.createDataFrame([(1, ["a"]), (2, ["b", "b"]), (3, ["z"])], "query_id int, terms array<string>")
+    ranked = lambda x: sorted(map(tuple, lexical.bm25(x, asked).collect()))
+    assert ranked(first.lexical) == ranked(c) != []
+    assert "PartitionFilters: [isnotnull(shelf" in lexical.bm25(first.lexical, asked)._jdf.queryExecution().toString()
     with pytest.raises(store.BuildError):
-        store.write_index(store.Index(c.union(c)), f"{tmp_path}/j")
+        store.write_index(store.Index(c.union(c)), path)
+    # A version that isn't complete doesn't count, and an older one stays readable while a newer one comes.
+    os.makedirs(f"{path}/v99999999999999999999/chunks")
+    assert store.read_index(spark, path).chunks.count() == 2
+    store.write_index(store.Index(c.where("chunk_id = 'c1'"), analyser=analyze.analyze), path)
+    assert store.read_index(spark, path).chunks.count() == 1 and first.chunks.count() == 2
+    assert store.read_index(spark, path).analyser is analyze.analyze
 
 
 @pytest.mark.parametrize("kind, change", [(config.Chunking, {"overlap_estimated_tokens": 200}), (config.Chunking, {"minimum_estimated_tokens": 0}), (config.Generation, {"temperature": 2}), (config.Generation, {"maximum_validation_attempts": 4}), (config.Retrieval, {"embedding": {"dimensions": 3}}), (config.Retrieval, {"reranking": {"enabled": False}}), (config.Retrieval, {"augmentation": {"correction_threshold": 0.1}}), (config.Retrieval, {"unknown": 1}), (config.Retrieval, {"search": {"final_results": 50}})])
