@@ -10,12 +10,14 @@ become absolute with the sizes of the splits before. Inside a split a candidate'
 chain is followed to where it leaves the split; over splits the chain from offset 0
 follows by pointer jumping (doubling) on those exits. Only candidates on the chain
 from the file's start are records; a chain that doesn't end at the file's size is an
-error. Headers may have any length.
+error. Headers may have any length. A payload's digest is made again from its bytes
+where a record lies in one split and follows another one there (or comes first); a
+record that splits cut in two is taken by its header's digest.
 
 Odd cases: null html is the empty payload and still a record; a null url has no
 target header; null page ids are written as ``null`` and read back so; pages with
-the same id are written each; an empty table gives no record; other columns are
-ignored.
+the same id are written each; a very long payload may span splits; an empty table
+gives no record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import shared_dir, stored, trim
 
 MAGIC = b"WARC/1.1\r\n"
 FILE_RECORDS = 20_000
@@ -103,18 +106,17 @@ def _page(text: str) -> int | None:
 
 
 def _fields(head: dict, body: bytes, whole: int) -> tuple:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, sound. ``body``: the first bytes of the record's block of ``whole`` bytes; the digest is checked (``sound``) if they are all in one split."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, offset of the payload in the block. ``body``: the first bytes of the record's block of ``whole`` bytes."""
     kind = head.get("warc-type", "")
-    sha = head.get("warc-payload-digest", "").removeprefix("sha1:")
-    size = sound = None
-    http, blank, payload = body.partition(b"\r\n\r\n")
+    size = skip = None
+    http, blank, _ = body.partition(b"\r\n\r\n")
     m = re.search(rb"content-length: *([0-9]{1,15})", http, re.I)
     if kind == "response" and blank:
-        size = whole - len(http) - 4
-        sound = digest(payload) == sha if len(body) == whole else None
+        skip = len(http) + 4
+        size = whole - skip
     elif m:
         size = int(m[1])
-    return _page(head.get("warc-record-id", "")), size, sha, kind, _page(head.get("warc-refers-to", "")), sound
+    return _page(head.get("warc-record-id", "")), size, head.get("warc-payload-digest", "").removeprefix("sha1:"), kind, _page(head.get("warc-refers-to", "")), skip
 
 
 _CANDIDATE = "file string, block long, at long, size long, leaves long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, sound boolean"
@@ -126,51 +128,59 @@ def _candidates(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_size").alias("whole"), F.col("value").cast("binary").alias("value"))
     names = [f.split()[0] for f in _CANDIDATE.split(", ")]
 
-    def finish(file: str, block: int, found: dict[int, list], span: int, whole: int) -> pa.RecordBatch:
+    def sound(pieces: list[bytes], starts: list[int], a: int, e: int, sha: str) -> bool:
+        """Do the split's bytes a to e have this digest?"""
+        h = hashlib.sha1()
+        k = bisect_right(starts, a) - 1
+        while a < e:
+            part = pieces[k][a - starts[k] : e - starts[k]]
+            h.update(part)
+            a += len(part)
+            k += 1
+        return base64.b32encode(h.digest()).decode() == sha
+
+    def finish(file: str, block: int, found: dict[int, tuple], pieces: list[bytes], starts: list[int], span: int, whole: int) -> pa.RecordBatch:
         leaves: dict[int, int | None] = {}
         for at in sorted(found, reverse=True):
             to = at + found[at][0]
             leaves[at] = to if to >= span else leaves.get(to)
-        rows = [(file, block, at, x[0], leaves[at], *x[1]) for at, x in found.items()] + [(file, block, None, span, whole, *[None] * 6)]
+        # A record follows another one, or comes first; other magics are not worth a digest.
+        likely = {at + x[0] for at, x in found.items()} | {min(found, default=0)}
+        rows = []
+        for at, (size, body, x) in found.items():
+            ok = None
+            if at in likely and x[5] is not None and at + size <= span:
+                ok = sound(pieces, starts, at + body + x[5], at + size - 4, x[2])
+            rows.append((file, block, at, size, leaves[at], *x[:5], ok))
+        rows.append((file, block, None, span, whole, *[None] * 6))
         types = [pa.string(), *[pa.int64()] * 6, pa.string(), pa.string(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, span, begun, whole = None, 0, False, 0
-        found: dict[int, list] = {}
-        open_: list[list] = []  # [at, size, headers, header bytes, parts so far, their length]
-
-        def close(x: list) -> None:
-            raw = b"".join(x[4])
-            found[x[0]] = [x[1], _fields(x[2], raw[x[3] : x[1] - 4], x[1] - 4 - x[3])]
-
+        found: dict[int, tuple] = {}  # at -> size, bytes of the header, fields
+        pieces, starts = [], []  # the split's bytes, held once
         for b in batches:
             files, blocks, wholes = (b.column(c).to_pylist() for c in ("file", "block", "whole"))
             for file, block, size_, value in zip(files, blocks, wholes, b.column("value"), strict=True):
                 raw = value.as_py()
                 if (file, block) != now:
                     if now is not None:
-                        for x in open_:
-                            close(x)
-                        yield finish(*now, found, span, whole)
-                    now, span, begun, whole, found, open_ = (file, block), 0, block > 0, size_, {}, []
+                        yield finish(*now, found, pieces, starts, span, whole)
+                    now, span, begun, whole, found, pieces, starts = (file, block), 0, block > 0, size_, {}, [], []
                 # Behind a file's first bytes every piece follows a magic; a file's very first piece does not.
                 piece = MAGIC + raw if begun else raw
-                for x in open_:
-                    x[4].append(piece)
-                    x[5] += len(piece)
                 if begun and (got := parse(raw)):
                     size, head = got
-                    open_.append([span, size, head, raw.find(b"\r\n\r\n") + 4 + len(MAGIC), [piece], len(piece)])
+                    body = raw.find(b"\r\n\r\n") + 4 + len(MAGIC)
+                    found[span] = (size, body, _fields(head, piece[body : size - 4], size - 4 - body))
+                pieces.append(piece)
+                starts.append(span)
                 span += len(piece)
                 begun = True
-                for x in [x for x in open_ if x[5] >= x[1] - 4]:
-                    close(x)
-                    open_.remove(x)
         if now is not None:
-            for x in open_:
-                close(x)
-            yield finish(*now, found, span, whole)
+            yield finish(*now, found, pieces, starts, span, whole)
+        trim()
 
     return parts.mapInArrow(run, _CANDIDATE)
 

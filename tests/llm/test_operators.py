@@ -353,6 +353,21 @@ def test_warc_pages_of_one_id(spark):
     assert Counter((r.page_id, r.payload_digest, r.refers_to) for r in out) == Counter((p, sha[h], w) for p, h, w in want)
 
 
+def test_warc_of_very_many_magics(spark, tmp_path):
+    """Headers inside a payload that claim much of it cost no bytes each, and a wrong payload is seen."""
+    fake = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 900000\r\n\r\nHTTP/1.1 200 OK\r\n\r\n"
+    rows = [(1, "u", "<p>"), (2, "u", fake * 12_000), (3, "http://x/" + "y" * (1 << 20), "<q>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    began = time.time()
+    out = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.round_trip(df, f"{tmp_path}/w").collect()}
+    assert out == {p: (len(h.encode()), warc.digest(h.encode())) for p, _, h in rows} and time.time() - began < 120
+    raw = b"".join(warc.record(i, "u", b"<p>%d" % i, warc.digest(b"<p>%d" % i), None, False) + b"\r\n\r\n" for i in range(3))
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "f").write_bytes(raw.replace(b"<p>1", b"<p>7"))
+    with pytest.raises(Exception, match="digest"):
+        warc.read(spark, f"{tmp_path}/x").collect()
+
+
 @pytest.mark.parametrize("tail", [b"WARC/1.1\r\n", b"WARC/1.1\r\nContent-Length: 50\r\n\r\nx\r\n\r\n", b"WARC/1.1\r\nno header\r\n\r\n", b"x"])
 def test_warc_chain_that_stops(spark, tmp_path, tail):
     """A file with bytes that no record covers is an error, not a shorter table."""
