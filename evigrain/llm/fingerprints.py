@@ -7,14 +7,19 @@ A phrase's name is a hash of its symbols, so no dictionary is shared. Cuts depen
 a few neighbours only: equal substrings get equal phrases but for some at both ends,
 wherever they stand. Tasks parse many texts at once with numpy.
 
-The fingerprint keeps, in each of 64 buckets, the least name (16 bits) of the phrases
-of level 3 and above; a text with few of those adds level 2, one with few of
-these level 1. The likeness of two fingerprints is the share of buckets that agree
-among those that either fills: an estimate of the Jaccard similarity of their phrases.
+The fingerprint has up to three sketches: of the phrases of level 3 and above, of level
+2 and above, and of all. Each keeps, in 64 buckets, the least name (16 bits) there. A
+text's own level is the highest of 3, 2 and 1 with enough phrases; its fingerprint is
+that digit and the sketches of that level and below. Two fingerprints are compared at
+the lower of their own levels, so two texts are never sketched over different levels.
+Their likeness is the share of buckets that agree among those that either fills: an
+estimate of the Jaccard similarity of their phrases.
 
 Odd cases: null counts as the empty text, whose fingerprint is all zeros; two such
 have likeness 1; repeated ids are ordered by text, null ids come first; a table of
-one document has itself as the next one; other columns are ignored.
+one document has itself as the next one; a very long text is parsed whole, in one
+piece; of equal names a bucket keeps one; other columns are ignored. An id, or null,
+with the rows of many ranges is dealt to several by the first bytes of the text.
 """
 
 from __future__ import annotations
@@ -27,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MULT, U64, _byte_values, cache, doc_frame, mix
+from .common import MULT, U64, _byte_values, cache, dealt, doc_frame, mix, range_bounds, trim
 
 BUCKETS = 64
 ENOUGH = 24  # phrases below which a lower level joins the sketch
 LEVELS = 12
-RANGE_ROWS = 2000
+SKETCHES = 3
+RANGE_BYTES = 8 << 20
 MOST_RANGES = 100_000
 NO_ID = -(1 << 63)
 
@@ -97,14 +103,15 @@ def _phrases(names: np.ndarray, small: np.ndarray | None, offs: np.ndarray) -> t
     return out, np.searchsorted(at, offs)
 
 
-def sketches(texts: list[bytes]) -> np.ndarray:
-    """(texts, BUCKETS) uint16; 0 is an empty bucket."""
+def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(own level of each text, (texts, SKETCHES, BUCKETS) uint16); 0 is an empty bucket. Sketch k is of the phrases of level k + 1 and above."""
     n = len(texts)
     least = np.full((n, BUCKETS), ~U64(0))
     data = np.frombuffer(b"".join(texts), np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    own, out = np.ones(n, np.int64), np.zeros((n, SKETCHES, BUCKETS), np.uint16)
     if not len(data):
-        return np.zeros((n, BUCKETS), np.uint16)
+        return own, out
     names, small = _byte_values()[data], data
     levels = []
     for level in range(1, LEVELS + 1):
@@ -113,27 +120,36 @@ def sketches(texts: list[bytes]) -> np.ndarray:
         levels.append((names, offs))
         if np.diff(offs).max() <= 1:
             break
-    if len(levels) < 3:
-        levels += [levels[-1]] * (3 - len(levels))
     many = [np.diff(o) for _, o in levels]
-    wanted = [many[1] < ENOUGH, many[2] < ENOUGH] + [np.ones(n, bool)] * (len(levels) - 2)
-    for k in range(1, len(levels)):  # a text that is one phrase already has no higher level, whatever else is parsed with it
-        wanted[k] = wanted[k] & (many[k - 1] > 1)
-    for (names, offs), use in zip(levels, wanted, strict=True):
-        row = np.repeat(np.arange(n), np.diff(offs))
-        if not use.all():
-            names, row = names[use[row]], row[use[row]]
-        np.minimum.at(least.reshape(-1), row * BUCKETS + (names >> U64(58)).astype(np.int64), names << U64(6))
-    out = (least >> U64(48)).astype(np.uint16)
-    out[out == 0] = 1
-    out[least == ~U64(0)] = 0
-    return out
-
-
-def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, 0 to 1."""
-    filled = ((a > 0) | (b > 0)).sum(axis=1)
-    same = ((a == b) & (a > 0)).sum(axis=1)
+    for k in range(1, min(SKETCHES, len(levels))):
+        own[many[k] >= ENOUGH] = k + 1
+    for k in range(max(len(levels), SKETCHES) - 1, -1, -1):
+        if k < len(levels):
+            names, offs = levels[k]
+            row = np.repeat(np.arange(n), many[k])
+            if k:  # a text that is one phrase already has no higher level, whatever else is parsed with it
+                use = (many[k - 1] > 1)[row]
+                names, row = names[use], row[use]
+            np.minimum.at(least.reshape(-1), row * BUCKETS + (names >> U64(58)).astype(np.int64), names << U64(6))
+        if k < SKETCHES:
+            x = (least >> U64(48)).astype(np.uint16)
+            x[x == 0] = 1
+            x[least == ~U64(0)] = 0
+            out[:, k] = x
+    return own, out
+
+
+def shown(own: np.ndarray, found: np.ndarray) -> list[str]:
+    """Own level, then the sketches from that level down to the first."""
+    return [f"{k}{x[k - 1 :: -1].astype('>u2').tobytes().hex()}" for k, x in zip(own.tolist(), found, strict=True)]
+
+
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Row by row, 0 to 1, at the lower of the two own levels."""
+    at, rows = np.minimum(a[0], b[0]) - 1, np.arange(len(a[0]))
+    x, y = a[1][rows, at], b[1][rows, at]
+    filled = ((x > 0) | (y > 0)).sum(axis=1)
+    same = ((x == y) & (x > 0)).sum(axis=1)
     return np.where(filled == 0, 1.0, same / np.maximum(filled, 1))
 
 
@@ -141,39 +157,46 @@ def with_next(docs: DataFrame) -> DataFrame:
     """Rows dealt to ranges of doc_id, each range in order and ended by the first row of the next (``borrowed``)."""
     spark = docs.sparkSession
     rows = doc_frame(docs).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    count = rows.count()
-    ranges = max(1, min(MOST_RANGES, count // RANGE_ROWS))
-    bounds = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("b")).first()["b"] if ranges > 1 else []
-    bounds = np.array(sorted(set(bounds or [])), np.int64)
+    size = F.octet_length("text") + 64
+    total = rows.agg(F.sum(size).alias("n")).first()["n"] or 0
+    bounds = range_bounds(rows.select("key", size.cast("long").alias("n")), "key", F.col("n"), total, max(RANGE_BYTES, -(-total // MOST_RANGES)))
+    values, times = np.unique(bounds, return_counts=True)
+    hot = values[times > 1].tolist()  # ids that fill several ranges; there the first seven bytes of a text decide
+    first_bytes = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = rows.withColumn("tie", F.when(F.col("key").isin(hot), first_bytes).otherwise(F.lit(0).cast("long")) if hot else F.lit(0).cast("long"))
     sent = spark.sparkContext.broadcast(bounds)
 
+    def buckets(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, tie = b.column("key").to_numpy(), b.column("tie").to_numpy()
+        return key, tie, dealt(sent.value, key, tie.astype(U64) << U64(8))
+
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key = b.column(0).to_numpy()
-            bucket = np.searchsorted(sent.value, key, "left")
-            order = np.lexsort((key, bucket))
+            key, tie, bucket = buckets(b)
+            order = np.lexsort((tie, key, bucket))
             own, at = np.unique(bucket[order], return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(key[order][at])], ["bucket", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(key[order][at]), pa.array(tie[order][at])], ["bucket", "key", "tie"])
 
-    first = rows.select("key").mapInArrow(firsts, "bucket int, key long").groupBy("bucket").agg(F.min("key").alias("key")).toArrow().sort_by("bucket")
-    lends = (first["key"].to_numpy(), np.roll(first["bucket"].to_numpy(), 1))
+    first = rows.select("key", "tie").mapInArrow(firsts, "bucket int, key long, tie long").groupBy("bucket").agg(F.min(F.struct("key", "tie")).alias("x")).select("bucket", "x.*").toArrow().sort_by("bucket")
+    lends = (first["key"].to_numpy(), first["tie"].to_numpy(), first["bucket"].to_numpy(), np.roll(first["bucket"].to_numpy(), 1))
     lent = spark.sparkContext.broadcast(lends)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, to = lent.value
+        keys, ties, own, to = lent.value
+        names = ["doc_id", "key", "text", "bucket", "borrowed"]
         for b in batches:
-            key = b.column("key").to_numpy()
-            bucket = np.searchsorted(sent.value, key, "left").astype(np.int32)
-            names = [*b.schema.names, "bucket", "borrowed"]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bucket), pa.array(np.zeros(len(key), bool))], names)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            mask = keys[at] == key
+            key, tie, bucket = buckets(b)
+            b = b.select(["doc_id", "key", "text"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bucket.astype(np.int32)), pa.array(np.zeros(len(key), bool))], names)
+            at = np.minimum(np.searchsorted(own, bucket), len(own) - 1)
+            mask = (keys[at] == key) & (ties[at] == tie) & (own[at] == bucket)
             if mask.any():
                 part = b.filter(pa.array(mask))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(to[at[mask]].astype(np.int32)), pa.array(np.ones(part.num_rows, bool))], names)
+        trim()
 
-    dealt = rows.mapInArrow(deal, "doc_id long, key long, text string, bucket int, borrowed boolean")
-    return dealt.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "borrowed", "key", "text")
+    rows = rows.mapInArrow(deal, "doc_id long, key long, text string, bucket int, borrowed boolean")
+    return rows.repartition(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "borrowed", "key", "text")
 
 
 def edited_text(text: str, following: str) -> str:
@@ -190,8 +213,8 @@ def report(docs: DataFrame) -> DataFrame:
         edited = [edited_text(a, b).encode() for a, b in zip(texts, texts[1:])]
         both = sketches([t.encode() for t in texts] + edited)
         n = len(group)
-        own, after, changed = both[:n], both[1 : n + 1], both[n + 1 :]
-        show = lambda x: pa.array([r.astype(">u2").tobytes().hex() for r in x], pa.string())
+        own, after, changed = (tuple(x[i:j] for x in both) for i, j in ((0, n), (1, n + 1), (n + 1, None)))
+        show = lambda x: pa.array(shown(*x), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([g[0] for g in group], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in edited], pa.string()), show(own), show(changed), pa.array(likeness(own, changed)), pa.array(likeness(own, after))], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,5 +232,8 @@ def report(docs: DataFrame) -> DataFrame:
                     group.append((doc_id, text))
                     size += len(text)
                     bucket = where
+        if group:
+            raise ValueError("a range has no row borrowed from the next")
+        trim()
 
     return with_next(docs).select("doc_id", "text", "bucket", "borrowed").mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -65,8 +65,79 @@ def test_fingerprints(spark):
 def test_phrases_do_not_depend_on_neighbours():
     r = np.random.default_rng(1)
     texts = [bytes(r.integers(97, 123, n, dtype=np.uint8)) for n in (1, 2, 5, 50, 900, 4000)]
-    alone = np.concatenate([fingerprints.sketches([t]) for t in texts])
-    assert (alone == fingerprints.sketches(texts)).all() and (alone[::-1] == fingerprints.sketches(texts[::-1])).all()
+    alone = [fingerprints.shown(*fingerprints.sketches([t]))[0] for t in texts]
+    assert alone == fingerprints.shown(*fingerprints.sketches(texts)) and alone[::-1] == fingerprints.shown(*fingerprints.sketches(texts[::-1]))
+
+
+M64 = (1 << 64) - 1
+
+
+def mix64(h):
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & M64
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & M64
+    return h ^ h >> 31
+
+
+def parsed(symbols, keys):
+    """One level of the parse, symbol by symbol: names of the phrases. ``keys``: what labels start from."""
+    runs = [[symbols[0], keys[0], 1]]
+    for x, k in zip(symbols[1:], keys[1:]):
+        if k == runs[-1][1]:
+            runs[-1][2] += 1
+        else:
+            runs.append([x, k, 1])
+    names = [x if n == 1 else mix64((x + n * 0x9E3779B97F4A7C15) & M64) for x, _, n in runs]
+    label = [k for _, k, _ in runs] if keys is not symbols else names
+    toss = lambda own, before: 2 * ((own ^ before) & -(own ^ before)).bit_length() - 2 + (own >> (((own ^ before) & -(own ^ before)).bit_length() - 1) & 1)
+    for step in range(4):
+        first = label[0] ^ 1 if step or keys is not symbols else label[0] ^ M64
+        label = [toss(x, b) for x, b in zip(label, [first, *label[:-1]])]
+    n = len(names)
+    cuts = [0] + [i for i in range(1, n - 1) if label[i] > label[i - 1] and label[i] > label[i + 1]] + [n]
+    out = []
+    for a, e in zip(cuts, cuts[1:]):
+        h = sum(x * pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i, x in enumerate(names[a:e]))
+        out.append(mix64((h + (e - a) * 0x9E3779B97F4A7C15) & M64))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_parse_equals_a_plain_parser(seed):
+    r = np.random.default_rng(seed)
+    texts = [bytes(r.integers(97, 97 + int(a), int(n), dtype=np.uint8)) for n, a in zip(r.integers(1, 400, 12), r.integers(1, 20, 12), strict=True)]
+    byte = [(mix64(b * 0x9E3779B97F4A7C15 & M64) | 1) for b in range(1, 257)]
+    offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    names, got_offs = fingerprints._phrases(np.array(byte, np.uint64)[data], data, offs)
+    want = [parsed([byte[b] for b in t], list(t)) for t in texts]
+    for _ in range(3):
+        assert [names[got_offs[i] : got_offs[i + 1]].tolist() for i in range(len(texts))] == want
+        names, got_offs = fingerprints._phrases(names, None, got_offs)
+        want = [parsed(w, w) for w in want]
+
+
+def test_likeness_of_edited_texts_has_no_cliff():
+    """One changed word leaves texts alike at every length, also where the level of the sketch changes."""
+    r = np.random.default_rng(2)
+    worst = 1.0
+    for n in range(30, 160, 2):
+        w = ["".join(map(chr, r.integers(97, 123, int(k)))) for k in r.integers(2, 9, n)]
+        v = list(w)
+        v[n // 2] = "changed"
+        worst = min(worst, float(fingerprints.likeness(fingerprints.sketches([" ".join(w).encode()]), fingerprints.sketches([" ".join(v).encode()]))[0]))
+    assert worst > 0.4
+
+
+def test_fingerprints_of_a_hot_id(spark, monkeypatch):
+    """A third of the rows without an id, over several ranges: the order stays, and the next text with it."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 4000)
+    rows = [(None if i % 3 == 0 else i, hashlib.sha256(b"%d" % i).hexdigest() * (i % 4)) for i in range(600)]
+    order = sorted(rows, key=lambda r: (fingerprints.NO_ID if r[0] is None else r[0], r[1]))
+    want = Counter((d, hashlib.sha256(fingerprints.edited_text(t, n).encode()).hexdigest()) for (d, t), (_, n) in zip(order, order[1:] + order[:1], strict=True))
+    out = fingerprints.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert Counter((r.doc_id, r.edited_sha256) for r in out) == want
 
 
 # --- 3, 6, 7: tokens ------------------------------------------------------------------------------
