@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import string
 import time
@@ -231,6 +232,25 @@ def test_token_counts(spark):
     assert Counter(tuple(r) for r in out) == want
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_transducer_equals_the_library(seed, monkeypatch):
+    """Counts of random byte strings, and of long ones, also when the machine has to forget."""
+    r = random.Random(seed)
+    machine = token_counts.Transducer(tokens.library(BYTE_BPE))
+    monkeypatch.setattr(token_counts, "MOST", 3000)
+    letters = token_counts.byte_letters()
+    forgot = False
+    for alphabet in (b"etaoin shr", b" the and ing", bytes(range(256)), b"=-_ \n", b"Aa1 \xc3\xa9"):
+        own = [bytes(r.choice(alphabet) for _ in range(r.randint(1, 40))) for _ in range(300)] + [bytes(r.choice(alphabet) for _ in range(600))]
+        raw = np.frombuffer(b"".join(own), np.uint8)
+        n = np.array([len(x) for x in own])
+        before = machine.filled
+        got = machine.counts(raw, np.cumsum(n) - n, n)
+        forgot |= machine.filled < before
+        assert got.tolist() == [len(machine.model.tokenize("".join(letters[b] for b in x))) for x in own]
+    assert forgot
+
+
 # --- 4 decontamination -----------------------------------------------------------------------------
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
