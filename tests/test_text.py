@@ -1,6 +1,7 @@
 """Line cleaning, headings, tokens, tags and ids on known facts."""
 
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -112,3 +113,21 @@ def test_page_status_and_report(spark):
 def test_null_text_is_an_empty_page(spark):
     out = pages.clean_pages(spark.createDataFrame([("s", 1, None, 0)], RAW)).first()
     assert (out.text, out.character_count, out.extraction_status) == ("", 0, "empty")
+
+
+def test_registered_queries_apply_nfkc(spark, tmp_path):
+    """Ligatures, full-width and other compatibility characters, which the SQL side can't fold."""
+    import unicodedata
+
+    from evigrain.plans import corpus_queries, retrieval_queries
+
+    texts = ["ﬁne ｌｉｎｅ  ①\n½ cup\u2011high\tx", "plain\u00a0text ﬀ", None]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    fold = lambda x: re.sub(r"[ \t]+", " ", unicodedata.normalize("NFKC", x).replace("\0", "").translate({ord(c): "-" for c in "‐‑‒–—−"})).strip()
+    want = {(i, n, fold(x)) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"), 1) if t}
+    assert {tuple(r) for r in corpus_queries.line_normalize(spark, str(tmp_path)).collect()} == want
+    asked = "Ｗｈａｔ ｄｏｓｅ of the tablet should I take?"
+    spark.createDataFrame([(1, 1, "user", asked)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.id: r for r in retrieval_queries.input_guardrails(spark, str(tmp_path)).collect()}
+    assert got[1001].category == "dosage"
+    assert {r.id: r.query for r in retrieval_queries.normalize_query(spark, str(tmp_path)).collect()}[1001] == unicodedata.normalize("NFKC", asked)
