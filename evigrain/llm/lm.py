@@ -362,6 +362,7 @@ def score(docs: DataFrame, model: Model, counted: DataFrame, held_out: Column, m
                 keys = h2[one].view(np.int64) * (0 if whole_pairs else 1)
                 cols += _listed(ends, keys, many, lv[one].astype(np.int32), number[one], number_before[one], c[one], context[one])
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "held_out", "n_tokens", "n_known", "base_score", "score", *_LISTS])
+        trim()
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     out = picked.mapInArrow(run, f"doc_id long, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double, {_fields(_LISTS)}")
@@ -431,6 +432,7 @@ def _closed(out: DataFrame, model: Model, there: DataFrame, mu: float) -> DataFr
             left = np.flatnonzero((lv == 0) & (context > 0)) if not whole_pairs else np.zeros(0, np.int64)
             lists = _listed(np.searchsorted(row[left], np.arange(n + 1)), h2[left], many[left], p[left].astype(np.float32), context[left].astype(np.float32))
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(k.astype(np.int64)), pa.array(base), pa.array(np.bincount(row, many * full, n)), *lists], ["row", "k", "b", "s", "pairs", "pair_n", "pair_v", "pair_c"])
+        trim()
 
     # The joins carry a word's number in its row, not the word.
     asked = out.where(F.size("words") > 0).select("row", F.posexplode("words").alias("pos", "key"))
