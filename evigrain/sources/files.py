@@ -34,7 +34,7 @@ def report_json(report: DataFrame) -> str:
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """path, size_bytes, sha256, ok, content: ``ok`` wants the magic bytes and at most the size limit."""
+    """path, size_bytes, sha256, ok, content: ``ok`` wants the magic bytes and at most the size limit. Spark's scan gives no row for a file without bytes."""
     files = spark.read.format("binaryFile").load(path)
     ok = (F.col("length") <= fixed.MAX_FILE_BYTES) & (F.substring("content", 1, 4) == F.lit(fixed.PDF_MAGIC).cast("binary"))
     return files.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), F.coalesce(ok, F.lit(False)).alias("ok"), "content")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -25,6 +26,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A new name in the folder of the checkpoints, which the driver and all executors share."""
+    settled(spark.range(0))
+    return f"{spark.sparkContext.getCheckpointDir()}/work-{uuid.uuid4().hex}"
+
+
 Analyser = Callable[[Column], Column]
 
 
