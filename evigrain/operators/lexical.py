@@ -65,10 +65,11 @@ class Postings:
 
     @classmethod
     def of(cls, docs: DataFrame, key: str = "chunk_id", wanted: DataFrame | None = None) -> "Postings":
-        """From ``docs`` (key, source_id, terms); only those of the ``wanted`` terms, if there are any."""
+        """From ``docs`` (key, source_id, terms); only those of the ``wanted`` terms, if there are any. A document's matched words meet in one task, which counts them as a stream."""
         words = docs.select(key, "source_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
         if wanted is not None:
-            words = words.join(wanted, "term", "left_semi")
+            # Dealt by key: frequencies and scores are summed where the words lie, and counting documents reuses this exchange.
+            words = words.join(wanted, "term", "left_semi").repartition(key)
         return cls(words.groupBy(key, "source_id", "dl", "term").agg(F.count("*").alias("tf")), None, corpus_stats(docs))
 
 
