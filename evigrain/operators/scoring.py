@@ -63,7 +63,7 @@ def counted(docs: DataFrame, key: str, analyser: Callable[[Column], Column]) ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dl, pa.int32()), pa.array(words, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int64()))], ["key", "source_id", "dl", "words", "tfs"])
 
     rows = sent.mapInArrow(run, f"key {kind}, source_id string, dl int, words array<string>, tfs array<bigint>")
-    return rows.select(F.col("key").alias(key), "source_id", "dl", F.inline(F.arrays_zip(F.col("words").alias("term"), F.col("tfs").alias("tf")))).select(key, "source_id", "dl", F.col("words").alias("term"), F.col("tfs").alias("tf"))
+    return rows.select(F.col("key").alias(key), "source_id", "dl", F.inline(F.arrays_zip(F.col("words").alias("term"), F.col("tfs").alias("tf"))))
 
 
 def _matched(docs: DataFrame, key: str, analyser: Callable[[Column], Column], wanted: dict[str, int]) -> DataFrame:
@@ -158,12 +158,12 @@ def _block(docs: DataFrame | lexical.Postings, own: pa.Table, k: int, key: str,
         on = ["term"]
         if docs.shelves:
             wanted, on = wanted.withColumn("shelf", F.pmod(F.xxhash64("term"), F.lit(docs.shelves)).cast("int")), ["shelf", "term"]
-        one = docs.rows.join(F.broadcast(wanted), on).select(F.col(key).alias("key"), "source_id", F.col("dl").cast("long").alias("dl"), F.array("_tid").alias("tids"), F.array(F.col("tf").cast("int")).alias("tfs"))
+        one = docs.rows.join(F.broadcast(wanted), on).select(F.col(key).alias("key"), "source_id", F.col("dl").cast("long").alias("dl"), "_tid", F.col("tf").cast("int").alias("tf"))
         counts = (docs.terms if docs.terms is not None else docs.rows.groupBy("term").agg(F.count("*").alias("df"))).join(F.broadcast(wanted), on).select("_tid", "df").toArrow()
         df[counts.column("_tid").to_numpy()] = counts.column("df").to_numpy()
         stats = docs.stats.first()
         n_docs, avgdl = stats["n_docs"], float(stats["avgdl"] or 1.0)
-        rows = one.repartition("key").sortWithinPartitions("key", "source_id", "dl")
+        rows = one.repartition("key").sortWithinPartitions("key", "source_id", "dl").select("key", "source_id", "dl", F.array("_tid").alias("tids"), F.array("tf").alias("tfs"))
     else:
         matched = _matched(docs, key, analyser, dict(zip(terms, range(len(terms)), strict=True)))
         rows = settled(matched.repartition("key").sortWithinPartitions("key", "source_id", "dl"))

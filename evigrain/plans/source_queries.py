@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import lexical
+from ..operators import scoring
 from ..schemas import MANIFEST_DOCUMENT
 from ..sources import files, manifest
 from ..sources.store import Index, read_index, work_folder, write_index
 from .corpus_queries import table
-from .retrieval_queries import SQL_BM25, doc_terms, item_terms
+from .retrieval_queries import SQL_BM25, doc_texts, item_terms
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -67,7 +67,7 @@ def eval_cases_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SQL_BM25} SELECT term, df FROM df")
 def stored_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' index, written as a version, and the terms that the newest version holds."""
-    chunks = doc_terms(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))
+    chunks = doc_texts(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))
     path = f"{work_folder(spark)}/index"
     write_index(Index(chunks), path)
     return read_index(spark, path).lexical.terms.select("term", "df")
@@ -78,6 +78,5 @@ row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VAR
 def stored_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All items against the stored postings, read by the terms they ask for."""
     path = f"{work_folder(spark)}/index"
-    write_index(Index(doc_terms(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))), path)
-    scores = lexical.bm25(read_index(spark, path).lexical, item_terms(spark, sf_dir))
-    return lexical.ranked(scores, "chunk_id", 20, 6).select("query_id", "chunk_id", "score", "rank")
+    write_index(Index(doc_texts(spark, sf_dir).withColumn("chunk_id", F.col("doc_id").cast("string"))), path)
+    return scoring.topk(read_index(spark, path).lexical, item_terms(spark, sf_dir), 20, decimals=6).select("query_id", "chunk_id", "score", "rank")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import analyze
-from ..operators import lexical
+from ..operators import lexical, scoring
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ Analyser = Callable[[Column], Column]
 
 @dataclass(frozen=True)
 class Index:
-    """``chunks``: chunk records plus ``terms``; ``vectors`` (chunk_id, source_id, vector) or None; ``analyser``: how their terms were made, and a query's are; ``lexical``: stored postings, or None."""
+    """``chunks``: chunk records, plus ``terms`` unless the analyser's are those of ``text``; ``vectors`` (chunk_id, source_id, vector) or None; ``analyser``: how their terms were made, and a query's are; ``lexical``: stored postings, or None."""
 
     chunks: DataFrame
     vectors: DataFrame | None = None
@@ -83,12 +83,15 @@ def write_index(index: Index, path: str) -> dict[str, int | str]:
     index.chunks.write.partitionBy("source_id").parquet(f"{own}/chunks")
     if index.vectors is not None:
         index.vectors.write.partitionBy("source_id").parquet(f"{own}/vectors")
-    made = lexical.Postings.of(spark.read.schema(index.chunks.schema).parquet(f"{own}/chunks"))
+    made = scoring.counted(spark.read.schema(index.chunks.schema).parquet(f"{own}/chunks"), "chunk_id", index.analyser)
     shelf = F.pmod(F.xxhash64("term"), F.lit(SHELVES)).cast("int").alias("shelf")
-    made.rows.select("*", shelf).repartition("shelf", "term").sortWithinPartitions("shelf", "term").write.partitionBy("shelf").parquet(f"{own}/postings")
-    # df from the stored postings: the texts are cut once
-    spark.read.parquet(f"{own}/postings").groupBy("shelf", "term").agg(F.count("*").alias("df")).repartition("shelf").write.partitionBy("shelf").parquet(f"{own}/terms")
-    about = made.stats.select("n_docs", "avgdl", F.lit(name).alias("analyser"), F.lit(mode).alias("mode"))
+    # Rebalanced: tasks and files of an even size, however large the corpus, and few files for each shelf.
+    made.select("*", shelf).hint("rebalance", F.col("shelf")).sortWithinPartitions("shelf", "term").write.partitionBy("shelf").parquet(f"{own}/postings")
+    # df and lengths from the stored postings: the texts are cut once
+    stored = spark.read.parquet(f"{own}/postings")
+    stored.groupBy("shelf", "term").agg(F.count("*").alias("df")).hint("rebalance", F.col("shelf")).sortWithinPartitions("shelf").write.partitionBy("shelf").parquet(f"{own}/terms")
+    stats = stored.agg((F.coalesce(F.sum("tf"), F.lit(0)) / n["n"]).alias("avgdl")).select(F.lit(n["n"]).cast("long").alias("n_docs"), "avgdl")
+    about = stats.select("n_docs", "avgdl", F.lit(name).alias("analyser"), F.lit(mode).alias("mode"))
     about.coalesce(1).write.parquet(f"{own}/about")
     return {"chunk_count": n["n"], "mode": mode}
 

@@ -250,3 +250,28 @@ def test_config_bounds(tmp_path, kind, change):
     p.write_text(json.dumps(change))
     with pytest.raises(config.ConfigError):
         config.load(kind, str(p))
+
+
+def test_stored_index_of_texts_has_few_files_and_a_terms_task_of_bounded_size(spark, tmp_path):
+    """No terms column: the analyser's words of the texts; equal to terms that are given; files don't grow with shuffle partitions."""
+    from evigrain.functions import analyze
+    from evigrain.operators import lexical, scoring
+    from evigrain.sources import store
+
+    rows = [(f"c{i}", f"s{i % 2}", None if i == 5 else f"running word{i} the word{i % 7} The") for i in range(60)]
+    d = spark.createDataFrame(rows, "chunk_id string, source_id string, text string")
+    asked = spark.createDataFrame([(1, ["word3", "the"]), (2, ["run", "running"])], "query_id int, terms array<string>")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        for made in (lexical.plain_terms, analyze.analyze):
+            whole = d.withColumn("terms", made(F.coalesce("text", F.lit(""))))
+            path = str(tmp_path / made.__name__)
+            store.write_index(store.Index(d, analyser=made), path)
+            got = store.read_index(spark, path)
+            assert sum(1 for _ in (tmp_path / made.__name__).rglob("postings/*/part-*.parquet")) <= store.SHELVES
+            assert {(r.n_docs, round(r.avgdl, 9)) for r in got.lexical.stats.collect()} == {(r.n_docs, round(r.avgdl, 9)) for r in lexical.corpus_stats(whole).collect()}
+            want = sorted(map(tuple, lexical.ranked(lexical.bm25(whole, asked), "chunk_id", 3, 6).select("query_id", "chunk_id", "score", "rank").collect()))
+            assert sorted(map(tuple, scoring.topk(got.lexical, asked, 3, decimals=6).select("query_id", "chunk_id", "score", "rank").collect())) == want != []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
