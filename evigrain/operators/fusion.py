@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Search
 from .dense import dense_topk
-from .lexical import Postings, bm25, ranked
+from .lexical import Postings, plain_terms
+from .scoring import topk
 
 
 def fuse(lists: dict[str, DataFrame], key: str = "chunk_id", constant: int = 60, k: int = 10, decimals: int = 12) -> DataFrame:
@@ -31,14 +33,14 @@ def materialised(ranks: DataFrame, chunks: DataFrame, key: str = "chunk_id") ->
     return chunks.join(ranks, key)
 
 
-def hybrid(chunks: DataFrame | Postings, queries: DataFrame, config: Search | None = None, key: str = "chunk_id", vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, hypothetical: DataFrame | None = None, sources: tuple[str, ...] | None = None, decimals: int = 6) -> DataFrame:
-    """``chunks`` (key, source_id, terms, or their postings), ``queries`` (query_id, terms), vectors on either side if there are any -> fused ranks.
+def hybrid(chunks: DataFrame | Postings, queries: DataFrame, config: Search | None = None, key: str = "chunk_id", vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, hypothetical: DataFrame | None = None, sources: tuple[str, ...] | None = None, decimals: int = 6, analyser: Callable[[Column], Column] = plain_terms) -> DataFrame:
+    """``chunks`` (key, source_id, terms, or text that ``analyser`` cuts, or their postings), ``queries`` (query_id, terms), vectors on either side if there are any -> fused ranks.
 
     ``vectors`` (key, source_id, vector); ``hypothetical`` (query_id, vector) adds a third
     list whose rank isn't returned. Queries without a vector are ranked by words alone.
     """
     config = config or Search()
-    lists = {"lexical": ranked(bm25(chunks, queries, key, sources), key, config.bm25_candidates, decimals)}
+    lists = {"lexical": topk(chunks, queries, config.bm25_candidates, key, sources, decimals, analyser)}
     if vectors is not None:
         if sources:
             vectors = vectors.where(F.col("source_id").isin(*sources))

@@ -69,7 +69,7 @@ def _terms(c: Column, index: Index) -> Column:
 def search(index: Index, queries: DataFrame, config: Retrieval, vectors: DataFrame | None, hypothetical: DataFrame | None, sources: tuple[str, ...] | None) -> DataFrame:
     """``queries`` (query_id, search) -> ranked full rows with the query."""
     q = queries.select("query_id", _terms(F.col("search"), index).alias("terms"))
-    ranks = fusion.hybrid(index.lexical or index.chunks, q, config.search, "chunk_id", index.vectors if vectors is not None else None, vectors, hypothetical, sources)
+    ranks = fusion.hybrid(index.lexical or index.chunks, q, config.search, "chunk_id", index.vectors if vectors is not None else None, vectors, hypothetical, sources, analyser=index.analyser)
     return fusion.materialised(ranks, index.chunks.drop("terms"))
 
 
