@@ -1,8 +1,9 @@
 """Page cleaning: repeated headers and footers, page numbers, status, extraction report.
 
 Nothing here explodes a whole page: only the first and last three lines of a page are
-counted, and a page is cleaned by one array expression that looks lines up in its
-source's set of repeated lines (at most 30, as each stands on a fifth of the pages).
+cut to lines and counted, and a page is cleaned where it lies, by one array expression
+that looks lines up in its source's set of repeated lines (at most 30, as each stands
+on a fifth of the pages): the sets go to the pages, so a large source is no single task.
 """
 
 from __future__ import annotations
@@ -14,19 +15,22 @@ from ..functions import analyze, fixed, text
 
 
 def page_lines(pages: DataFrame, nfkc: bool = True) -> DataFrame:
-    """``pages`` (source_id, page_number, text) with normalised ``lines``."""
+    """``pages`` (source_id, page_number, text) with normalised ``lines``, the ``ends`` of them that may repeat, and whether the page is ``filled``; what isn't asked for isn't computed."""
     body = F.coalesce(F.col("text"), F.lit(""))
     body = analyze.nfkc(body) if nfkc else body
-    return pages.withColumn("lines", F.transform(text.split_lines(body), text.normalize_line))
+    edge = fixed.BOUNDARY_LINES
+    # Columns one by one: each is named more than once below, and must not be made anew each time.
+    pages = pages.withColumn("_body", body).withColumn("_raw", text.split_lines(F.col("_body")))
+    n = F.size("_raw")
+    ends = F.concat(F.slice("_raw", 1, edge), F.slice(F.col("_raw"), F.greatest(n - (edge - 1), F.lit(1)), F.lit(edge)))
+    pages = pages.withColumns({"lines": F.transform("_raw", text.normalize_line), "ends": F.transform(ends, text.normalize_line), "filled": F.col("_body").rlike(r"(?U)[^\s\x1c-\x1f\x00]")})
+    return pages.drop("_body", "_raw")
 
 
 def repeated_lines(lined: DataFrame) -> DataFrame:
     """source_id, line, n_pages of boundary lines on at least max(3, a fifth) of the pages that aren't empty."""
-    filled = lined.where(F.exists("lines", lambda x: x != ""))
-    edge = fixed.BOUNDARY_LINES
-    n = F.size("lines")
-    ends = F.concat(F.slice("lines", 1, edge), F.slice(F.col("lines"), F.greatest(n - (edge - 1), F.lit(1)), F.lit(edge)))
-    own = F.array_distinct(F.transform(ends, text.canonical_line))
+    filled = lined.where("filled")
+    own = F.array_distinct(F.transform("ends", text.canonical_line))
     own = F.filter(own, lambda x: (x != "") & ~text.is_page_number(x))
     counted = filled.select("source_id", F.explode(own).alias("line")).groupBy("source_id", "line").agg(F.count("*").alias("n_pages"))
     total = filled.groupBy("source_id").agg(F.count("*").alias("total"))
@@ -56,7 +60,7 @@ def clean_pages(pages: DataFrame, nfkc: bool = True) -> DataFrame:
     """``pages`` (source_id, page_number, text, image_count) -> the page records."""
     lined = page_lines(pages, nfkc)
     sets = repeated_lines(lined).groupBy("source_id").agg(F.collect_list("line").alias("repeated"))
-    joined = lined.join(sets, "source_id", "left").withColumn("text", cleaned(F.col("lines"), F.col("repeated")))
+    joined = lined.join(F.broadcast(sets), "source_id", "left").withColumn("text", cleaned(F.col("lines"), F.col("repeated")))
     chars = F.length("text")
     return joined.select("source_id", "page_number", "text", chars.cast("int").alias("character_count"), F.col("image_count").cast("int").alias("image_count"), page_status(chars, F.col("image_count")).alias("extraction_status"))
 

@@ -131,3 +131,33 @@ def test_registered_queries_apply_nfkc(spark, tmp_path):
     got = {r.id: r for r in retrieval_queries.input_guardrails(spark, str(tmp_path)).collect()}
     assert got[1001].category == "dosage"
     assert {r.id: r.query for r in retrieval_queries.normalize_query(spark, str(tmp_path)).collect()}[1001] == unicodedata.normalize("NFKC", asked)
+
+
+def test_nfkc_sends_only_what_it_may_change_to_python(spark):
+    """The stable characters change nothing, alone or beside another; all others are normalised as before."""
+    import re
+    import unicodedata
+
+    stable = re.compile("[" + re.sub(r"\\x\{(\w+)\}", lambda m: f"\\U{int(m[1], 16):08x}", analyze.STABLE) + "]")
+    kept = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and stable.match(chr(c))]
+    assert len(kept) > 20000
+    for x in kept:
+        assert unicodedata.normalize("NFKC", x) == x and not unicodedata.combining(x)
+        assert unicodedata.normalize("NFKC", "a" + x) == "a" + x and unicodedata.normalize("NFKC", "か" + x) == "か" + x
+    texts = [None, "", "Ünïcode façade", "ﬁne", "e\u0301", "a\u00a0b…", "\u1100\u1161", "ｶﾞ", "か\u3099", "ok\n½"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", analyze.nfkc(F.col("t")).alias("n"))
+    assert [(r.t, r.n) for r in d.collect()] == [(t, None if t is None else unicodedata.normalize("NFKC", t)) for t in texts]
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "CASE WHEN RLIKE" in plan or "CASE WHEN t" in plan
+
+
+def test_pages_are_cleaned_without_a_shuffle_of_their_texts(spark):
+    """A source of any size is no single task: only its few repeated lines travel."""
+    rows = [("s" if i % 4 else "t", i, f"Head\nbody {i} x{i}\n\0 \n\u00a0\n{i}" if i != 7 else " \0\n\x1c\u2028 ", 0) for i in range(40)]
+    d = spark.createDataFrame(rows, "source_id string, page_number int, text string, image_count int")
+    lined = pages.page_lines(d)
+    assert all(r.filled == any(x != "" for x in r.lines) and r.ends == r.lines[:3] + r.lines[max(len(r.lines) - 3, 0):] for r in lined.collect())
+    out = pages.clean_pages(d)
+    assert {r.page_number: r.text for r in out.collect()} == {i: "" if i == 7 else f"body {i} x{i}" for i in range(40)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
