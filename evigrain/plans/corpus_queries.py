@@ -156,7 +156,7 @@ def chunk_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole sources of many pages, with an excluded page and page ranges."""
     records = pages.clean_pages(doc_pages(spark, sf_dir))
     status = F.col("extraction_status").isin(*Chunking().skip_extraction_statuses)
-    out = chunking.fold_pages(records.withColumn("kept", ~status & (F.col("page_number") % 97 != 0)), Chunking())
+    out = chunking.fold_pages(records.withColumn("kept", ~status & (F.col("page_number") % 97 != 0)), Chunking(), keys=doc_pages(spark, sf_dir))
     return chunking.finished(out).select("chunk_id", "source_id", "chunk_ordinal", "page_start", "page_end", "estimated_tokens", "text", "dropped")
 
 

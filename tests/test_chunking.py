@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -275,3 +276,71 @@ def test_stored_index_of_texts_has_few_files_and_a_terms_task_of_bounded_size(sp
             assert sorted(map(tuple, scoring.topk(got.lexical, asked, 3, decimals=6).select("query_id", "chunk_id", "score", "rank").collect())) == want != []
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def odd_pages(rng, n):
+    """Pages with gaps, equal numbers, skipped and blank ones, hard and soft headings, numbered paragraphs and sentences that make the packer drop units."""
+    number, out = 0, []
+    for _ in range(n):
+        number += rng.choice([0, 1, 1, 1, 1, 1, 2, 5])
+        lines = []
+        for _ in range(rng.randrange(5)):
+            kind = rng.randrange(16)
+            words = " ".join(rng.choice(["alpha", "beta,", "Gamma", "(x)", "7"]) for _ in range(rng.choice([1, 4, 8, 25, 58])))
+            lines.append({0: "Section  %d" % rng.randrange(3), 1: "SOME LOUD HEADING %d" % rng.randrange(3), 2: "", 3: "(a) " + words, 4: "Annexure 1", 5: words}.get(kind, words + rng.choice([".", ". Then more. ", "?", "!"])))
+        out.append({"source_id": "s", "page_number": number, "text": rng.choice(["\n", "\r\n", "\u2028"]).join(lines) if rng.random() < 0.95 else None, "kept": rng.random() < 0.93})
+    return out
+
+
+def stitched(rows, span, conf):
+    """What fold_pages does with ranges, without Spark."""
+    ends = sorted({r["page_number"] for r in rows})[span - 1 :: span]
+    ranged = [r | {"range": sum(e < r["page_number"] for e in ends)} for r in rows]
+    names = [c.split()[0] for c in chunking.STORED.split(", ")]
+    made = [dict(zip(names, r, strict=True)) for r in chunking._ranges(ranged, conf, False)]
+    seams = [dict(zip(names, r, strict=True)) for r in chunking._stitch([r for r in made if r["kind"] == "seam"], conf, False)]
+    patches = {r["range"]: r for r in seams if r["kind"] == "patch"}
+    out = [r for r in seams if r["kind"] == "seam"]
+    inner = [r for r in made if r["kind"] == "inner"]
+    for r in inner:
+        p = patches[r["range"]]
+        r["dropped"] += p["dropped"] if r["seq"] == p["units"] - 1 else 0
+        r["seq"] += p["seq"]
+        r["sections"] = list(dict.fromkeys(x or p["sections"][0] for x in r["sections"]))
+    return sorted((r["source_id"], r["seq"], r["page_start"], r["page_end"], r["pages"], r["sections"], r["text"], r["units"], r["dropped"]) for r in out + inner), len(inner)
+
+
+def test_ranges_of_a_source_give_the_chunks_of_one_fold():
+    inner = drops = merged = 0
+    for seed in range(300):
+        rng = random.Random(seed)
+        rows = odd_pages(rng, rng.choice([1, 3, 30, 120]))
+        conf = SMALL if seed % 3 else Chunking(1, 30, 60, 64, 10)
+        want = list(chunking._fold(rows, conf, False))
+        for span in (1, 4, 11, 40):
+            got, n = stitched(rows, span, conf)
+            assert got == want, (seed, span)
+            inner += n
+        drops += sum(r[-1] for r in want)
+        merged += bool(want)
+    assert inner > 1000 and drops > 50 and merged > 200
+
+
+def test_large_source_is_dealt_by_ranges(spark):
+    """A source over the span isn't one task: each range reads its pages, and one fold sees the seams only."""
+    rng = random.Random(1)
+    rows = [r | {"source_id": s} for s, n in (("big", 400), ("small", 20), (None, 150)) for r in odd_pages(rng, n)]
+    for r in rows:
+        r["text"] = None if r["text"] is None else f"Page {r['page_number']} {r['text']}"
+    rows = list({(r["source_id"], r["page_number"]): r for r in rows}.values())
+    pages = spark.createDataFrame([(r["source_id"], r["page_number"], r["text"], r["kept"]) for r in rows], "source_id string, page_number int, text string, kept boolean").repartition(5)
+    want = sorted(map(repr, chunking._fold(rows, SMALL, False)))
+    large = {s: len(ends) + 1 for s, ends in chunking.large_sources(pages, 40)}
+    assert set(large) == {"big", None} and large["big"] >= 8 and large[None] >= 3
+    got = chunking.fold_pages(pages, SMALL, span=40)
+    assert got.columns == [c.split()[0] for c in chunking.FOLDED.split(", ")]
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+    assert sorted(repr(tuple(r)) for r in chunking.fold_pages(pages, SMALL).collect()) == want
+    tasks = chunking._ranges(({**r, "range": r["page_number"] // 100} for r in rows if r["source_id"] == "big"), SMALL, False)
+    seams = sum(r[0] == "seam" for r in tasks)
+    assert seams < 200
