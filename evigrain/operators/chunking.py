@@ -77,7 +77,10 @@ def heading(line: str) -> bool:
     if line.lower().startswith(fixed.HEADING_PREFIXES) or _HEADING.match(line):
         return True
     letters = sum(map(str.isalpha, line))
-    return letters >= fixed.HEADING_MIN_LETTERS and sum(c.isupper() for c in line if c.isalpha()) / letters >= fixed.HEADING_UPPER_SHARE
+    # Capitals that aren't letters are few: most lines fail without a look at each character.
+    if letters < fixed.HEADING_MIN_LETTERS or sum(map(str.isupper, line)) / letters < fixed.HEADING_UPPER_SHARE:
+        return False
+    return sum(c.isupper() for c in line if c.isalpha()) / letters >= fixed.HEADING_UPPER_SHARE
 
 
 def hard(line: str) -> bool:
@@ -168,8 +171,8 @@ class Packer:
         c = self.c
         if self.open:
             enough = self.size >= c.minimum_estimated_tokens
-            parted = hard(u.text.strip()) and any(not x.heading for x in self.open)
-            if u.first > max(x.last for x in self.open) + 1 or (u.heading and (enough or parted)):
+            # Pages come in order, so the last unit ends on the last page.
+            if u.first > self.open[-1].last + 1 or (u.heading and (enough or (hard(u.text) and any(not x.heading for x in self.open)))):
                 yield from self._seal(0)
             elif enough and self.size + u.tokens > c.target_estimated_tokens:
                 yield from self._seal(c.overlap_estimated_tokens)

@@ -16,14 +16,15 @@ from ..functions import analyze, fixed, text
 
 def page_lines(pages: DataFrame, nfkc: bool = True) -> DataFrame:
     """``pages`` (source_id, page_number, text) with normalised ``lines``, the ``ends`` of them that may repeat, and whether the page is ``filled``; what isn't asked for isn't computed."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    body = analyze.nfkc(body) if nfkc else body
+    raw = F.coalesce(F.col("text"), F.lit(""))
+    body = analyze.nfkc(raw) if nfkc else raw
     edge = fixed.BOUNDARY_LINES
     # Columns one by one: each is named more than once below, and must not be made anew each time.
-    pages = pages.withColumn("_body", body).withColumn("_raw", text.split_lines(F.col("_body")))
+    # NFKC makes no blank of another character, nor the other way: a page is filled before as it is after, and pages are counted without it.
+    pages = pages.withColumns({"_body": body, "filled": raw.rlike(r"(?U)[^\s\x1c-\x1f\x00]")}).withColumn("_raw", text.split_lines(F.col("_body")))
     n = F.size("_raw")
     ends = F.concat(F.slice("_raw", 1, edge), F.slice(F.col("_raw"), F.greatest(n - (edge - 1), F.lit(1)), F.lit(edge)))
-    pages = pages.withColumns({"lines": F.transform("_raw", text.normalize_line), "ends": F.transform(ends, text.normalize_line), "filled": F.col("_body").rlike(r"(?U)[^\s\x1c-\x1f\x00]")})
+    pages = pages.withColumns({"lines": F.transform("_raw", text.normalize_line), "ends": F.transform(ends, text.normalize_line)})
     return pages.drop("_body", "_raw")
 
 
